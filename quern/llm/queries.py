@@ -6,33 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship
-from . import leaks, pairs, spam, tokens, truncation
-from .tables import p1_values, p5_items, table
+from . import leaks, packing, pairs, pieces, spam, tokens, truncation, vectors
+from .tables import p1_values, p4_vectors, p5_items, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """tbl, id, field of the cut values."""
     ship(spark)
     values, corpus = p1_values(spark, folder)
-    return truncation.cut_values(values, corpus).select("key.tbl", "key.id", "key.field")
+    return truncation.cut_values(values, corpus, checkpoint).select("key.tbl", "key.id", "key.field")
 
 
 def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     """For each source and field the number of ids with a value, how many are cut, and their share."""
     ship(spark)
     values, corpus = p1_values(spark, folder)
-    cut = truncation.cut_values(values, corpus).select("key", F.lit(1).alias("cut"))
+    cut = truncation.cut_values(values, corpus, checkpoint).select("key", F.lit(1).alias("cut"))
     of = values.select("key", "source").join(cut, "key", "left")
     return of.groupBy("key.tbl", "key.field", "source").agg(F.count("*").alias("ids"), F.count("cut").alias("cut_ids"), F.round(F.count("cut") / F.count("*"), 6).alias("cut_share"))
 
 
+CHILD_LIMIT, PARENT_LIMIT, OVERLAP = 450, 2048, 50
+
+
+def _p2_pieces(spark: SparkSession, folder: str, oversized: bool, texts: bool) -> DataFrame:
+    ship(spark)
+    parts = []
+    for name, limit in (("children", CHILD_LIMIT), ("parents", PARENT_LIMIT)):
+        cut = pieces.split(table(spark, folder, name), "id", "text", limit, OVERLAP, oversized, texts)
+        parts.append(cut.select(F.lit(name).alias("tbl"), *cut.columns))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """tbl, id of the items that come out in more than one piece."""
+    return _p2_pieces(spark, folder, True, False).where("piece = 1").select("tbl", "id").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all oversized items, in order."""
+    return _p2_pieces(spark, folder, True, True).dropDuplicates(["tbl", "id", "piece"])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """id, defect of the defective pairs."""
     ship(spark)
     human = table(spark, folder, "human_eval_34q").select("id", F.col("question"), F.col("response_preview").alias("response")).dropDuplicates(["id"])
     values, corpus = p1_values(spark, folder)
     values = values.where("kind = 'response_preview'").withColumn("key", F.col("key.id"))
-    return pairs.defects(human, values, corpus)
+    return pairs.defects(human, values, corpus, checkpoint)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """id_a, id_b of the pairs of cosine 0.92 or more of which one is among the 10 most similar of the other."""
+    ship(spark)
+    near = vectors.neighbours(p4_vectors(spark, folder), 10, 0.92)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,10 +90,22 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("doc_id", "n_ids", (F.col("text") == F.col("given")).alias("same"))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """container, doc_id, part, first_token, n_tokens: every non-empty document in containers of 2,048 tokens."""
+    ship(spark)
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens, and the share of the space that is used."""
+    used = p7_containers(spark, folder).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return used.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count("*") * F.lit(packing.CAPACITY)), 6).alias("used"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id of the documents of which more than half is spam."""
     ship(spark)
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", checkpoint).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}

@@ -30,3 +30,8 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     audit = table(spark, folder, "audit_sample_review").select(F.col("id").alias("item_id"), F.col("question").alias("text"))
     uvo = table(spark, folder, "jun2023_uvo").select(F.col("id").alias("item_id"), "text")
     return audit.unionByName(uvo).where("text is not null")
+
+
+def p4_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of both tables, which share one space."""
+    return table(spark, folder, "children").select("id", "embedding").unionByName(table(spark, folder, "table_summaries").select("id", "embedding"))

@@ -146,14 +146,16 @@ def _prefixes(word: str) -> F.Column:
     return F.explode(F.when((F.length(w) > 1) & ~w.startswith("#"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda n: F.substring(w, F.lit(1), n))))
 
 
-def cut_values(values: DataFrame, corpus: DataFrame) -> DataFrame:
+def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -> DataFrame:
     """The values that were cut.
 
     ``values``: key, kind, source, text, with distinct keys; ``corpus``: kind, text.  Statistics are those of ``corpus``
-    by kind (rows of ``values`` belong in it).  Returns key, kind, source, length, mark and the evidence.
+    by kind (the rows of ``values`` belong in it).  Returns key, kind, source, length, mark and the evidence.  ``checkpoint``
+    cuts the lineage of the counts, which are read once for each kind of evidence.
     """
     seen = corpus.select("kind", "text").mapInArrow(_observe, "kind string, c1 string, c2 string, word string, marked long, unmarked long, goes long, seen long")
     seen = seen.groupBy("kind", "c1", "c2", "word").agg(*(F.sum(c).alias(c) for c in ("marked", "unmarked", "goes", "seen")))
+    seen = checkpoint(seen)
     contexts = seen.where("kind <> ''")
     vocabulary = seen.where("kind = ''").select(F.col("word").alias("plain"), F.col("seen").alias("known"))
     trie = vocabulary.select(_prefixes("plain").alias("plain"), "known").groupBy("plain").agg(F.sum("known").alias("begins"))
