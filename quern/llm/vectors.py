@@ -227,7 +227,8 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim:
         return pa.table({"id": pa.array(ids[i], pa.string()), "other": pa.array(ids[j], pa.string()), "cosine": pa.array(cosine, pa.float64())})
 
     sent = usable.mapInArrow(send, "block int, id string, candidate boolean, vector binary")
-    found = sent.groupBy("block").applyInArrow(compare, "id string, other string, cosine double")
+    # blocks are tasks of their own: about one to a partition, whatever the session's setting
+    found = sent.repartition(int(min(8192, parts.sum())), "block").groupBy("block").applyInArrow(compare, "id string, other string, cosine double")
     both = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
     if extra is not None:
         both = both.unionByName(extra)
