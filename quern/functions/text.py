@@ -113,7 +113,7 @@ def is_separator(c: Column) -> Column:
 def pipe_cells(c: Column) -> Column:
     """The trimmed cells of a table line, without what stands outside the outer bars."""
     parts = F.split(F.trim(c), r"\|")
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.trim)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
 
 
 def rename(c: Column, names: Mapping[str, str]) -> Column:
@@ -138,11 +138,11 @@ def title_before_colon(c: Column, most: int = 80) -> Column:
 
 
 def sentences(c: Column, more_than: int = 20) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) > more_than)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: F.length(s) > more_than)
 
 
 def paragraphs(c: Column, more_than: int = 40) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n{2,}"), F.trim), lambda s: F.length(s) > more_than)
+    return F.filter(F.transform(F.split(c, r"\n{2,}"), lambda x: F.trim(x)), lambda s: F.length(s) > more_than)
 
 
 def truncate_words(c: Column, most: int) -> Column:

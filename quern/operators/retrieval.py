@@ -11,6 +11,7 @@ from collections.abc import Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,28 +41,81 @@ def postings(docs: DataFrame, doc_id: str, text: str, stem=lambda tokens: tokens
     return words.select("doc_id", "length", F.explode("words").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, digits: int | None = 6) -> DataFrame:
+#: Queries that are broadcast as one matrix; more of them are joined with the postings instead.
+QUERIES_MOST = 10_000
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, digits: int | None = 6, queries_most: int = QUERIES_MOST) -> DataFrame:
     """The k best documents by BM25 for any of a query's words; higher is better.
 
     ``queries``: query_id, text; ``docs``: doc_id, text.  Words are counted once in a query.  Words in more than half of
-    the documents weigh almost nothing.  Only postings of words that some query has leave the scan's stage, and they are
-    counted there first."""
+    the documents weigh almost nothing.  Documents of a null text are in no list and have the length 0.
+
+    Words that every document has would make a join as large as queries times documents.  So up to ``queries_most``
+    queries are sent to the documents: each batch of documents is scored as a product of two matrices and keeps its k
+    best for each query.  More queries go through the postings."""
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    # documents without a word belong to the collection; one of a null text has the length 0
-    size = words.agg(F.count("*").alias("n"), F.avg(F.greatest("length", F.lit(0))).alias("mean"))
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    size = words.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("words"), F.lit(0))).alias("mean"))
     vocabulary = asked.select("term").distinct()
-    post = words.select("doc_id", "length", F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.when(F.col("n") * 1.0 > 2 * F.col("df"), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(1e-6)
     weighted = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "mean")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = asked.join(weighted, "term").join(post, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
+    few = queries.select("query_id").limit(queries_most + 1).count() <= queries_most
+    scored = _bm25_matrix(asked, weighted, words, k, digits) if few else _bm25_postings(asked, weighted, words, digits)
     return ranked(scored, k, channel="bm25")
 
 
+def _bm25_postings(asked: DataFrame, weighted: DataFrame, words: DataFrame, digits: int | None) -> DataFrame:
+    post = words.withColumn("length", F.size("words")).select("doc_id", "length", F.explode("words").alias("term")).join(weighted, "term").groupBy("doc_id", "length", "term", "idf", "mean").agg(F.count("*").alias("tf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = asked.join(post, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    return scored if digits is None else scored.withColumn("score", F.round("score", digits))
+
+
+def _bm25_matrix(asked: DataFrame, weighted: DataFrame, words: DataFrame, k: int, digits: int | None) -> DataFrame:
+    spark = words.sparkSession
+    terms = weighted.toPandas()  # the words of a bounded number of queries
+    pairs = asked.join(weighted.select("term"), "term").toPandas()
+    query_ids = np.sort(pairs["query_id"].unique())
+    place = {t: n for n, t in enumerate(terms["term"])}
+    wanted = np.zeros((len(place), len(query_ids)))
+    wanted[pairs["term"].map(place).to_numpy(dtype=np.int64), np.searchsorted(query_ids, pairs["query_id"].to_numpy())] = 1
+    mean = float(terms["mean"].iloc[0] or 0) if len(terms) else 0.0
+    shared = spark.sparkContext.broadcast((place, terms["idf"].to_numpy(), wanted, query_ids))
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((asked, "query_id"), (words, "doc_id"))}
+
+    def score(batches):
+        place, idf, wanted, query_ids = shared.value
+        step = max(16, (4 << 20) // max(1, len(place) + len(query_ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = part.column(1)
+                length = np.maximum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
+                coded = lists.flatten().dictionary_encode()
+                known = np.array([place.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                term = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, dtype=np.int64)
+                row = np.repeat(np.arange(part.num_rows), length)
+                keep = term >= 0
+                tf = np.bincount(row[keep] * len(place) + term[keep], minlength=part.num_rows * len(place)).reshape(part.num_rows, len(place)).astype(np.float64)
+                norm = K1 * (1 - B + B * length / mean) if mean else np.ones(part.num_rows)
+                s = (idf * tf * (K1 + 1) / np.where(tf > 0, tf + norm[:, None], 1)) @ wanted
+                hit = ((tf > 0).astype(np.float32) @ wanted.astype(np.float32)) > 0
+                if digits is not None:
+                    s = np.round(s, digits)
+                s[~hit] = -np.inf
+                # ties with the k-th best stay in: the final ranking decides
+                top = min(k, len(s))
+                kth = np.partition(s, len(s) - top, axis=0)[len(s) - top]
+                i, j = np.nonzero((s >= kth) & hit)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[j]), part.column(0).take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+
+    if not len(place):
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return words.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+
+
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
@@ -72,8 +126,9 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 20, block: int = 6
     ``queries``: query_id, embedding; ``docs``: doc_id, embedding.  Documents are spread over blocks; each block meets
     all queries as matrices and keeps its k best, and the best of those are kept.  Null and empty vectors take no part;
     all-zero ones have the cosine 0.  All vectors must have one length."""
-    docs = docs.where(F.size("embedding") > 0).select("doc_id", "embedding")
-    queries = queries.where(F.size("embedding") > 0).select("query_id", "embedding")
+    # fresh names: both sides may come from one table
+    docs = docs.where(F.size("embedding") > 0).select(F.col("doc_id").alias("doc_id"), F.col("embedding").alias("d_vector"))
+    queries = queries.where(F.size("embedding") > 0).select(F.col("query_id").alias("query_id"), F.col("embedding").alias("q_vector"))
     blocks = max(1, -(-docs.count() // block))
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "doc_id"))}
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -84,7 +139,7 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 20, block: int = 6
         if not len(q) or not len(d):
             return empty
         d = d.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        x, y = _vectors(q["embedding"]), _vectors(d["embedding"])
+        x, y = _vectors(q["q_vector"]), _vectors(d["d_vector"])
         if cosine:
             x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
         qid, did = q["query_id"].to_numpy(), d["doc_id"].to_numpy()
