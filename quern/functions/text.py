@@ -201,7 +201,7 @@ def yes_no(c: Column) -> Column:
 def score(c: Column) -> Column:
     """A score in JSON, after 'score', or the first number; kept within 0 and 1."""
     found = F.coalesce(F.try_to_number(F.nullif(F.get_json_object(c, "$.score"), F.lit("")), F.lit("9D999999")).cast("double"), F.regexp_extract(c, r"(?i)score\D{0,5}(\d+(?:\.\d+)?)", 1).try_cast("double"), F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def cites(c: Column, documents: Column, pages: Column) -> Column:

@@ -59,7 +59,7 @@ def prediction_powered(gold: DataFrame, rest: DataFrame, z: float = 1.96, digits
     b = rest.agg(F.avg("predicted").alias("mean"), F.var_samp("predicted").alias("v2"), F.count("*").alias("n2"))
     both = a.join(F.broadcast(b)).withColumn("theta", F.col("mean") - F.col("bias"))
     half = z * F.sqrt(F.coalesce(F.col("v1"), F.lit(0.0)) / F.col("n1") + F.coalesce(F.col("v2"), F.lit(0.0)) / F.col("n2"))
-    clip = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), digits)
+    clip = lambda c: F.when(c.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), digits))
     return both.select(clip(F.col("theta")).alias("theta"), clip(F.col("theta") - half).alias("low"), clip(F.col("theta") + half).alias("high"), "n1", "n2")
 
 

@@ -177,18 +177,20 @@ def cell_search(queries: DataFrame, cells: DataFrame, k: int = 5, least: float =
     contains it, and once for each table with such a column.  ``boosts``: more for some tables that matched."""
     wanted = queries.select("query_id", F.slice(T.terms(F.col("text"), 4, allowed), 1, most_terms).alias("terms")).select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     if prefix:
-        # terms and words meet in an equi-join on their first four letters (or the whole of a shorter term)
-        stem4 = lambda c: F.substring(c, 1, 4)
-        rows = cells.select("table_id", F.monotonically_increasing_id().alias("cell"), "col_name", "cell_value")
-        wanted = wanted.withColumn("term", T.fold(F.col("term"))).withColumn("k", stem4(F.col("term"))).distinct()
-
-        def side(column: str, worth: float) -> DataFrame:
-            words = rows.select("table_id", "cell", F.explode(F.array_distinct(T.tokens(F.col(column)))).alias("word"))
-            keyed = words.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.col("word"), F.lit(1), n)))))
-            met = keyed.join(wanted, "k").where(F.startswith(F.col("word"), F.col("term"))).select("query_id", "table_id", "cell").distinct()
-            return met.select("query_id", "table_id", F.lit(worth).alias("worth"))
-
-        hits = side("cell_value", 1.0).unionByName(side("col_name", 0.5))
+        wanted = wanted.withColumn("term", T.fold(F.col("term"))).distinct()
+        values = cells.groupBy("table_id", F.lit(1.0).alias("worth"), F.col("cell_value").alias("value")).agg(F.count("*").alias("n"))
+        columns = cells.groupBy("table_id", F.lit(0.5).alias("worth"), F.col("col_name").alias("value")).agg(F.count("*").alias("n"))
+        held = values.unionByName(columns)
+        # terms meet the distinct words of the cells, on the first letters of both
+        head = lambda c: F.substring(c, 1, 4)
+        words = held.select(F.explode(T.tokens(F.col("value"))).alias("word")).distinct()
+        keyed = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.col("word"), F.lit(1), n)))).alias("k"))
+        matched = keyed.join(wanted.select("term", head(F.col("term")).alias("k")).distinct(), "k").where(F.startswith(F.col("word"), F.col("term"))).select("term", "word")
+        # queries that hold the same terms of these are one
+        sets = wanted.join(matched.select("term").distinct(), "term", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        terms = sets.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+        met = terms.join(matched, "term").join(held.select("table_id", "worth", "value", "n", F.explode(F.array_distinct(T.tokens(F.col("value")))).alias("word")), "word").select("terms", "table_id", "worth", "value", "n").distinct()
+        hits = met.select(F.col("terms").alias("query_id"), "table_id", (F.col("worth") * F.col("n")).alias("worth"))
     else:
         value = cells.join(wanted, F.contains(F.lower("cell_value"), F.col("term"))).select("query_id", "table_id", F.lit(1.0).alias("worth"))
         column = cells.select("table_id", "col_name").distinct().join(wanted, F.contains(F.lower("col_name"), F.col("term"))).select("query_id", "term", "table_id").distinct().select("query_id", "table_id", F.lit(0.5).alias("worth"))
@@ -197,7 +199,8 @@ def cell_search(queries: DataFrame, cells: DataFrame, k: int = 5, least: float =
     if boosts:
         table = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))
         scored = scored.withColumn("score", F.col("score") + F.coalesce(F.try_element_at(table, F.col("table_id")), F.lit(0.0)))
-    return ranked(scored.where(F.col("score") >= least).withColumnRenamed("table_id", "doc_id"), k, channel="structured")
+    best = ranked(scored.where(F.col("score") >= least).withColumnRenamed("table_id", "doc_id"), k, channel="structured")
+    return sets.join(best.withColumnRenamed("query_id", "terms"), "terms").drop("terms") if prefix else best
 
 
 #: The order of channels, which breaks ties, and their weights.

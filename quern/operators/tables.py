@@ -68,13 +68,13 @@ def targeted_rows(tables: DataFrame, wanted: list[str], units: Mapping[str, str]
 
 def strip_repeated_headings(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
     """Texts without the repetitions of heading lines that occur ``least`` times: the first of each stays."""
-    split = docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    heading = F.col("line").rlike(r"^#{1,6}\s+\S")
-    same = F.trim(F.regexp_replace("line", r"^#+\s*", ""))
-    w = Window.partitionBy(key, "h")
-    marked = split.withColumn("h", F.when(heading, same)).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("pos")))
-    kept = marked.where(F.col("h").isNull() | (F.col("n") < least) | (F.col("k") == 1))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    split = docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+    heading = F.col("_line").rlike(r"^#{1,6}\s+\S")
+    same = F.trim(F.regexp_replace("_line", r"^#+\s*", ""))
+    w = Window.partitionBy(key, "_h")
+    marked = split.withColumn("_h", F.when(heading, same)).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("_pos")))
+    kept = marked.where(F.col("_h").isNull() | (F.col("_n") < least) | (F.col("_k") == 1))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"]), "\n")
     return kept.groupBy(key).agg(joined.alias("text"))
 
 
