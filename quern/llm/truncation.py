@@ -7,7 +7,7 @@ as counts over all values and joined back to each value's last words, so no tabl
 * the same trie within a context: after these two words the corpus has only longer words that begin like the last one;
 * terminal contexts: how often sentences end after the last three (two, one) words, and how often they go on;
 * length: values of this source and field pile up at exactly this length;
-* what stands last: half a character, an opening mark, a comma or a hyphen.
+* what stands last: half a character, an opening mark, a comma, a hyphen or a bracket that isn't closed.
 
 Numbers and names are counted by kind.  Values of fewer than ``MIN_WORDS`` words, null, empty and blank ones are never
 cut.  Repeated rows count once, by key.  A value that ends in a full stop, question mark or closing bracket is complete.
@@ -34,6 +34,8 @@ GOES_ON_AT_LIMIT = 0.5
 #: A length is a limit if it is the longest, or nearly, and this many times as frequent as its neighbours.
 PILE_UP = 3
 LEAST_LIMIT = 40
+#: A bracket that is opened so near to the end, and not closed, was cut.
+BRACKETS, OPEN_WITHIN = ("()", "[]", "«»"), 24
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _ELLIPSIS = regex.compile(r"(?:\s*(?:[\[(]\s*)?(?:…|\.\.\.+)(?:\s*[\])])?)+$")
@@ -134,7 +136,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found) >= MIN_WORDS:
                 a, b, w, _ = found[-1]
                 rest = (text or "").rstrip()
-                rows.append((key, kind, source, len(text), mark, a, b, w, plain[-1], rest.endswith("�"), rest[-1:] in ",«([{<-‐–'’/&+=" or rest[-1:] == '"' and rest.count('"') % 2 == 1))
+                rows.append((key, kind, source, len(text), mark, a, b, w, plain[-1], rest.endswith("�"), rest[-1:] in ",«([{<-‐–'’/&+=" or rest[-1:] == '"' and rest.count('"') % 2 == 1 or any(rest.rfind(a, -OPEN_WITHIN) > rest.rfind(b) for a, b in BRACKETS)))
         columns = list(zip(*rows)) if rows else [[]] * 11
         types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "kind", "source", "length", "mark", "c1", "c2", "word", "plain", "broken", "opening"])
@@ -191,7 +193,7 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
     here = F.col("m3") + F.col("g3")
     p = F.coalesce("p_end", F.lit(0.5))
     unknown = (F.col("known") == 0) & (F.col("begins") >= 2)
-    only_longer = (F.col("longer") >= 3) & (here <= 0.02 * F.col("longer"))
+    only_longer = (F.col("longer") >= 3) & (here <= 0.02 * F.col("longer")) | (F.col("longer") >= 1) & (here == 0) & (F.coalesce("p_end", F.lit(0.0)) < 0.3)
     limit = F.col("at_limit") & (F.coalesce("p_end", F.lit(0.0)) < F.when(F.col("mark") == "ellipsis", 0.9).otherwise(GOES_ON_AT_LIMIT))
     spaced = (F.col("mark") == "space") & F.col("at_limit")
     return joined.where(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced).select("key", "kind", "source", "length", "mark", "p_end", "known", "begins", "longer", "at_limit")
