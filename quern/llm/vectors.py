@@ -72,6 +72,20 @@ def train(sample: np.ndarray, lists: int, rounds: int = 6, seed: int = SEED) ->
     return centroids, np.bincount(own, minlength=lists) / max(len(sample), 1)
 
 
+def reaches(sample: np.ndarray, centroids: np.ndarray, k: int, most: float) -> np.ndarray:
+    """For each list how far its vectors have to look: ``most``, or less where even the few sampled vectors of the list
+    have 2 k others nearer than that, as in a dense region.  The true neighbours are nearer still."""
+    own = nearest(sample, centroids)
+    out = np.full(len(centroids), most)
+    order = np.argsort(own, kind="stable")
+    bounds = np.searchsorted(own[order], np.arange(len(centroids) + 1))
+    for cell in np.flatnonzero(np.diff(bounds) > 4 * k):
+        x = sample[order[bounds[cell] : bounds[cell + 1]]][:1024]
+        d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+        out[cell] = min(most, float(np.quantile(np.partition(d, 2 * k, axis=1)[:, 2 * k], 0.99)))
+    return out
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 4096) -> np.ndarray:
     return np.concatenate([(x[k : k + step] @ centroids.T).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, dtype=np.int64)
 
@@ -79,7 +93,8 @@ def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 4096) -> np.ndarra
 class Lists:
     """Which lists and blocks a vector belongs to and probes."""
 
-    def __init__(self, centroids: np.ndarray, parts: np.ndarray, reach: float, sigmas: float):
+    def __init__(self, centroids: np.ndarray, parts: np.ndarray, reach: np.ndarray, sigmas: float):
+        """``reach``: for each list the distance within which its vectors look for neighbours."""
         self.centroids, self.parts = centroids, parts
         self.first = np.concatenate([[0], np.cumsum(parts)])
         # spread of a neighbour's difference along the line between two centroids
@@ -92,7 +107,7 @@ class Lists:
         own = near.argmax(1)
         best = near[np.arange(len(x)), own]
         gap = self.gaps[own] if self.gaps is not None else np.sqrt(np.maximum(2 - 2 * self.centroids[own] @ self.centroids.T, 0))
-        probe = best[:, None] - near <= self.margin * gap
+        probe = best[:, None] - near <= self.margin[own][:, None] * gap
         probe[np.arange(len(x)), own] = True
         row, cell = np.nonzero(probe)
         count = self.parts[cell]
@@ -113,22 +128,33 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
     cut = [(e / x.shape[1]) * (1 + TEST_SIGMAS / math.sqrt(e)) ** 2 for e in ends]
     c_head = (c[:, :head] ** 2).sum(1)
     bound = np.full(len(x), np.inf if least is None else 2 - 2 * least + 1e-5, dtype=np.float32)
-    if least is None and len(at):
-        # a first bound: the k-th distance among some of the candidates (the query itself may be one of them)
-        some = c[:: max(1, len(at) // (32 * k))]
-        if len(some) > k:
-            for q in range(0, len(x), 4096):
-                d = 2 - 2 * turned[q : q + 4096] @ some.T
-                bound[q : q + 4096] = np.partition(d, k, axis=1)[:, k] + 1e-5
+    # a first bound: the distance to the 2 k-th of some of the candidates (two rows may have one id, or be the query's)
+    some = c[:: max(1, len(at) // (16 * k))]
+    if len(some) > 2 * k:
+        for q in range(0, len(x), 4096):
+            d = 2 - 2 * turned[q : q + 4096] @ some.T
+            bound[q : q + 4096] = np.minimum(bound[q : q + 4096], np.partition(d, 2 * k, axis=1)[:, 2 * k] + 1e-5)
     rank_of = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
 
     def best(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
         """The 2 k first of each ``a``, as the same id may stand in two rows; in the order of a, then cosine."""
+        if not len(a):
+            return np.zeros(0, dtype=np.int64)
         order = np.lexsort((rank_of[b], -exact, a))
         start = np.concatenate([[True], a[order][1:] != a[order][:-1]])
         first = np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
         return order[np.arange(len(order)) - first < 2 * k]
 
+    def squeeze(held: list) -> tuple[list, int]:
+        """Only the nearest so far, and the last of them bounds what may follow."""
+        i, j, exact = (np.concatenate(z) for z in zip(*held))
+        keep = best(i, j, exact)
+        i, j, exact = i[keep], j[keep], exact[keep]
+        found, first, count = np.unique(i, return_index=True, return_counts=True)
+        full = count == 2 * k
+        bound[found[full]] = np.minimum(bound[found[full]], 2 - 2 * exact[first[full] + 2 * k - 1] + 1e-6)
+        return [(i, j, exact)], len(i)
+
     out = []
     for q in range(0, len(x), 2048):
         query = turned[q : q + 2048]
@@ -145,22 +171,20 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
                 partial = partial + ((turned[i, ends[b - 1] : ends[b]] - c[j, ends[b - 1] : ends[b]]) ** 2).sum(1)
                 keep = partial <= bound[i] * cut[b]
                 i, j, partial = i[keep], j[keep], partial[keep]
-            j = at[j]
-            other = ids[i] != ids[j]
-            i, j = i[other], j[other]
-            exact = np.einsum("ij,ij->i", wide[i], wide[j])
-            keep = exact >= least if least is not None else 2 - 2 * exact <= bound[i]
-            held.append((i[keep], j[keep], exact[keep]))
-            size += int(keep.sum())
-            if least is None and size > 64 * k * len(query) or least is None and t + 2048 >= len(at) and size:
-                # only the nearest so far are kept, and the last of them bounds what may follow
-                i, j, exact = (np.concatenate(z) for z in zip(*held))
-                keep = best(i, j, exact)
-                i, j, exact = i[keep], j[keep], exact[keep]
-                found, first, count = np.unique(i, return_index=True, return_counts=True)
-                full = count == 2 * k
-                bound[found[full]] = np.minimum(bound[found[full]], 2 - 2 * exact[first[full] + 2 * k - 1] + 1e-6)
-                held, size = [(i, j, exact)], len(i)
+            for p in range(0, len(i), 1 << 18):
+                a, b = i[p : p + (1 << 18)], at[j[p : p + (1 << 18)]]
+                other = ids[a] != ids[b]
+                a, b = a[other], b[other]
+                exact = np.einsum("ij,ij->i", wide[a], wide[b])
+                keep = 2 - 2 * exact <= bound[a]
+                if least is not None:
+                    keep &= exact >= least
+                held.append((a[keep], b[keep], exact[keep]))
+                size += int(keep.sum())
+                if size > 64 * k * len(query):
+                    held, size = squeeze(held)
+        if least is None and size:
+            held, size = squeeze(held)
         out += held
     if not out or not sum(len(z[0]) for z in out):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -193,7 +217,7 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim:
     sample = np.unique(sample[good], axis=0) if good.any() else np.eye(1, dim, dtype=np.float32)
     centroids, shares = train(sample, lists)
     parts = np.maximum(1, np.ceil(shares * total / BLOCK_SIZE)).astype(np.int64)
-    index = spark.sparkContext.broadcast((Lists(centroids, parts, reach, sigmas), rotation(dim)))
+    index = spark.sparkContext.broadcast((Lists(centroids, parts, reaches(sample, centroids, k, reach), sigmas), rotation(dim)))
 
     # copies: only if some vector has many, the rest of the plan works on the first k + 1 of each
     copied = usable.groupBy("h").count().where(F.col("count") > COPIES).limit(1).count() > 0

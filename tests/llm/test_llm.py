@@ -190,6 +190,17 @@ def test_neighbours_without_a_threshold_reach_the_recall(spark):
     assert np.mean([len(got.get(i, set()) & set(o)) / len(o) for i, o in want.items()]) >= 0.95
 
 
+def test_a_dense_third_of_all_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"a{n:04d}", rng.normal(size=8).tolist()) for n in range(1200)] + [(f"d{n:04d}", (1 + rng.normal(size=8) * 0.01).tolist()) for n in range(600)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    got = {}
+    for r in vectors.neighbours(df, 5, 0.92, dim=8, list_size=150, sigmas=4).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    want = {i: o for i, o in brute(rows, 5, 0.92).items() if o}
+    assert np.mean([len(got.get(i, set()) & set(o)) / len(o) for i, o in want.items()]) >= 0.98
+
+
 def test_no_vectors_no_neighbours(spark):
     df = spark.createDataFrame([("a", None)], "id string, embedding array<float>")
     assert vectors.neighbours(df, 5, 0.9, dim=8).count() == 0
