@@ -28,6 +28,8 @@ LISTS_MOST = 16_384
 BLOCK_SIZE = 16_384
 #: Reach of the probes and significance of the test, in standard deviations.
 PROBE_SIGMAS, TEST_SIGMAS = 2.5, 2.1
+#: Share of a tile's pairs that pass the first test beyond which the tile is compared as a whole.
+DENSE = 0.05
 #: Copies of one vector beyond which copies are taken out before the scan.
 COPIES = 64
 SEED = 7
@@ -164,10 +166,16 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
             partial = query[:, :head] @ c[t : t + 2048, :head].T
             # |q - c|² over the first block, against the bound of the query
             limit = (q_head - bound[q : q + 2048] * cut[0])[:, None] * 0.5
-            i, j = np.nonzero(partial >= limit + 0.5 * c_head[None, t : t + 2048])
+            near = partial >= limit + 0.5 * c_head[None, t : t + 2048]
+            dense = np.count_nonzero(near) > DENSE * near.size
+            if dense:
+                # where the first block abandons little, the rest is one more product
+                partial += query[:, head:] @ c[t : t + 2048, head:].T
+                near = 2 - 2 * partial <= bound[q : q + 2048, None] + 1e-5
+            i, j = np.nonzero(near)
             i, j = i + q, j + t
             partial = q_head[i - q] + c_head[j] - 2 * partial[i - q, j - t]
-            for b in range(1, len(ends) - 1):
+            for b in range(1, 1 if dense else len(ends) - 1):
                 partial = partial + ((turned[i, ends[b - 1] : ends[b]] - c[j, ends[b - 1] : ends[b]]) ** 2).sum(1)
                 keep = partial <= bound[i] * cut[b]
                 i, j, partial = i[keep], j[keep], partial[keep]
