@@ -193,7 +193,7 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
     here = F.col("m3") + F.col("g3")
     p = F.coalesce("p_end", F.lit(0.5))
     unknown = (F.col("known") == 0) & (F.col("begins") >= 2)
-    only_longer = (F.col("longer") >= 3) & (here <= 0.02 * F.col("longer")) | (F.col("longer") >= 1) & (here == 0) & (F.coalesce("p_end", F.lit(0.0)) < 0.3)
+    only_longer = (F.col("longer") >= 3) & (here <= 0.02 * F.col("longer")) | (F.col("longer") >= 1) & (here == 0) & ((total[2] == 0) | (F.coalesce("p_end", F.lit(0.0)) < 0.3))
     limit = F.col("at_limit") & (F.coalesce("p_end", F.lit(0.0)) < F.when(F.col("mark") == "ellipsis", 0.9).otherwise(GOES_ON_AT_LIMIT))
     spaced = (F.col("mark") == "space") & F.col("at_limit")
     return joined.where(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced).select("key", "kind", "source", "length", "mark", "p_end", "known", "begins", "longer", "at_limit")
