@@ -109,3 +109,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
+
+#: A token of p2 in SQL; white space as Python sees it.
+_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\p{Z}\t-\r\x1c-\x20\x{85}]"
+
+ORACLES = {
+    "p2_found": f"select distinct tbl, id from (select 'children' as tbl, id, text, {CHILD_LIMIT} as most from children union all select 'parents', id, text, {PARENT_LIMIT} from parents) where len(regexp_extract_all(text, '{_TOKEN}')) > most",
+    "p4_found": "with v as (select id, any_value(embedding)::double[] as e from (select id, embedding from children union all select id, embedding from table_summaries) where len(embedding) = 64 group by id), n as (select id, e, sqrt(list_dot_product(e, e)) as n from v where list_dot_product(e, e) > 0), p as (select a.id as a, b.id as b, list_dot_product(a.e, b.e) / (a.n * b.n) as c from n a, n b where a.id <> b.id), r as (select a, b, row_number() over (partition by a order by c desc, b) as r from p where c >= 0.92) select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 10",
+}

@@ -326,3 +326,14 @@ def test_spam_pages(spark, text, expected):
 def test_no_pages_no_spam(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spam.spam_pages(df, "doc_id", "text").count() == 0
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, name):
+    import duckdb
+    import parity
+
+    con = duckdb.connect()
+    parity.tables(con, FOLDER)
+    assert parity.compare(spark, con, queries.QUERIES[name], queries.ORACLES[name], FOLDER) is None
