@@ -333,10 +333,10 @@ def derived_answers(t):
     return u.select("id", T.answer_text(F.col("ans"), F.col("choices")).alias("answer"))
 
 
-@query(f"with {HUMAN} select id, 'ffe:' || substr(md5(question || source), 1, 8) as short_id, case when len(string_split(id, ':')) >= 4 then string_split(id, ':')[3] end as category from hu where question is not null and source is not null")
+@query(f"with {HUMAN} select id, 'q:' || substr(md5(question || source), 1, 8) as short_id, case when len(string_split(id, ':')) >= 4 then string_split(id, ':')[3] end as category from hu where question is not null and source is not null")
 def question_ids(t):
     h = human(t).where("question is not null and source is not null")
-    return h.select("id", T.short_id("ffe:", F.col("question"), F.col("source")).alias("short_id"), T.id_segment(F.col("id")).alias("category"))
+    return h.select("id", T.short_id("q:", F.col("question"), F.col("source")).alias("short_id"), T.id_segment(F.col("id")).alias("category"))
 
 
 @query(f"with {CHILDREN} select id, coalesce(nullif(regexp_replace(source, '\\.pdf$', ''), ''), source) || case when coalesce(section, '') <> '' then ' > ' || section else '' end as path, nullif(regexp_replace(regexp_extract(text, '^(\\d+(?:\\.\\d+)*\\.?)\\s', 1), '\\.$', ''), '') as article from ch where source is not null and text is not null")
