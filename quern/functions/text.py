@@ -27,6 +27,11 @@ def match_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space (of ASCII) at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def tokens(c: Column) -> Column:
     """Folded words in order."""
     return F.filter(F.split(fold(c), NOT_WORD), lambda w: w != "")
@@ -138,16 +143,16 @@ def title_before_colon(c: Column, most: int = 80) -> Column:
 
 
 def sentences(c: Column, more_than: int = 20) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: F.length(s) > more_than)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), strip), lambda s: F.length(s) > more_than)
 
 
 def paragraphs(c: Column, more_than: int = 40) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n{2,}"), lambda x: F.trim(x)), lambda s: F.length(s) > more_than)
+    return F.filter(F.transform(F.split(c, r"\n{2,}"), strip), lambda s: F.length(s) > more_than)
 
 
 def truncate_words(c: Column, most: int) -> Column:
     """The first words, with `` [...]`` if there are more."""
-    parts = F.split(F.trim(c), r"\s+")
+    parts = F.split(strip(c), r"\s+")
     return F.when(F.size(parts) > most, F.concat(F.array_join(F.slice(parts, 1, most), " "), F.lit(" [...]"))).otherwise(c)
 
 

@@ -164,12 +164,12 @@ def length_stats(t):
     return metrics.length_stats(t.documents, "n_chars", (1000, 10000))
 
 
-@query(f"with {HUMAN} select source, count(*) as n, count(*) filter (where retrieval_hit) as hits, count(*) filter (where cited_auto) as cited, round(count(*) filter (where cited_auto and retrieval_hit) / nullif(count(*) filter (where retrieval_hit), 0), 6) as cited_of_hits, round(avg(len(regexp_split_to_array(trim(response), '[ \\t\\n\\r\\f\\v]+'))) filter (where response is not null), 6) as words from hu group by source")
+@query(f"with {HUMAN} select source, count(*) as n, count(*) filter (where retrieval_hit) as hits, count(*) filter (where cited_auto) as cited, round(count(*) filter (where cited_auto and retrieval_hit) / nullif(count(*) filter (where retrieval_hit), 0), 6) as cited_of_hits, round(avg(len(regexp_split_to_array(regexp_replace(response, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+'))) filter (where response is not null), 6) as words from hu group by source")
 def answer_stats(t):
     """Hits, citations and length of answers by model."""
     h = human(t)
     share = F.try_divide(F.count_if(F.col("cited_auto") & F.col("retrieval_hit")), F.count_if("retrieval_hit"))
-    return h.groupBy("source").agg(F.count("*").alias("n"), F.count_if("retrieval_hit").alias("hits"), F.count_if("cited_auto").alias("cited"), F.round(share, 6).alias("cited_of_hits"), F.round(F.avg(F.size(F.split(F.trim("response"), r"[ \t\n\r\f\v]+"))), 6).alias("words"))
+    return h.groupBy("source").agg(F.count("*").alias("n"), F.count_if("retrieval_hit").alias("hits"), F.count_if("cited_auto").alias("cited"), F.round(share, 6).alias("cited_of_hits"), F.round(F.avg(F.size(F.split(T.strip(F.col("response")), r"\s+"))), 6).alias("words"))
 
 
 @query(f"with {HUMAN}, g as (select avg(p - l) as bias, var_samp(p - l) as v1, count(*) as n1 from (select score_useful / 2.0 as l, cited_auto::int as p from hu where score_useful is not null and cited_auto is not null)), r as (select avg(cited_auto::int) as m, var_samp(cited_auto::int) as v2, count(*) as n2 from hu where score_useful is null and cited_auto is not null) select round(greatest(0, least(1, m - bias)), 6) as theta, round(greatest(0, least(1, m - bias - 1.96 * sqrt(v1 / n1 + v2 / n2))), 6) as low, round(greatest(0, least(1, m - bias + 1.96 * sqrt(v1 / n1 + v2 / n2))), 6) as high, n1, n2 from g, r")
@@ -293,13 +293,20 @@ def keyword_overlap(t):
     return links.by_words(q, children(t).select(F.col("id").alias("doc_id"), "text"))
 
 
-@query("with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: length(x) > 20) as s from documents where text is not null and not regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ]')) select doc_id, len(s) as sentences from s")
+#: White space as built-in patterns see it, in SQL; and a text without it at both ends.
+WS = "[ \\t\\n\\x0b\\f\\r]"
+
+
+def stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query(f"with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {stripped('x')}), lambda x: length(x) > 20) as s from documents where text is not null) select doc_id, len(s) as sentences from s")
 def sentence_counts(t):
-    d = t.documents.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7FÀ-ÿ]"))
-    return d.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+    return t.documents.where("text is not null").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query("select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda x: trim(x)), lambda x: length(x) > 40)) as paragraphs, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as words from documents where text is not null")
+@query(f"select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: {stripped('x')}), lambda x: length(x) > 40)) as paragraphs, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) as words from documents where text is not null")
 def paragraph_counts(t):
     d = t.documents.where("text is not null")
     return d.select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("paragraphs"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).cast("long").alias("words"))
@@ -321,10 +328,9 @@ def abstentions(t):
     return human(t).groupBy("source").agg(F.count_if(T.abstains(F.col("response"))).alias("abstained"), F.count_if(F.col("response").rlike(r"(?i)article \d")).alias("articles"))
 
 
-@query(f"with {HUMAN} select id, array_to_string(list_slice(regexp_split_to_array(trim(response), '[ \\t\\n]+'), 1, 12), ' ') || case when len(regexp_split_to_array(trim(response), '[ \\t\\n]+')) > 12 then ' [...]' else '' end as head from hu where response is not null and not regexp_matches(response, '[\\x0b\\x0c\\r\\x85\\xa0\\x{{2000}}-\\x{{206f}}]') and len(regexp_split_to_array(trim(response), '[ \\t\\n]+')) > 12")
+@query(f"with {HUMAN}, w as (select id, response, regexp_split_to_array({stripped('response')}, '{WS}+') as ws from hu) select id, case when len(ws) > 12 then array_to_string(list_slice(ws, 1, 12), ' ') || ' [...]' else response end as head from w")
 def truncated_words(t):
-    h = human(t).where(F.col("response").isNotNull() & ~F.col("response").rlike(r"[\x0b\x0c\r\x85\xa0 -⁯]"))
-    return h.where(F.size(F.split(F.trim("response"), r"[ \t\n]+")) > 12).select("id", T.truncate_words(F.col("response"), 12).alias("head"))
+    return human(t).select("id", T.truncate_words(F.col("response"), 12).alias("head"))
 
 
 @query(f"with {UVO}, l as (select id, choices, list_filter(string_split(upper(regexp_replace(coalesce(ans, ''), '[^A-Za-z]', '', 'g')), ''), lambda x: x <> '') as ls from uv where choices is not null and ans is not null) select id, array_to_string(list_filter(list_transform(ls, lambda k: choices[k]), lambda x: x is not null), ' | ') as answer from l")
@@ -345,10 +351,9 @@ def title_paths(t):
     return c.select("id", T.title_path(F.regexp_replace("source", r"\.pdf$", ""), F.col("section"), F.col("source")).alias("path"), T.leading_article(F.col("text")).alias("article"))
 
 
-@query(f"with {CHILDREN} select id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]')) as counted, tokens from ch where text is not null and not regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ’–…«»€]')")
+@query(f"with {CHILDREN} select id, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}} \\t\\n\\x0b\\f\\r]')), 0) as counted, tokens from ch")
 def token_counts(t):
-    c = children(t).where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7FÀ-ÿ’–…«»€]"))
-    return c.select("id", T.token_count(F.col("text")).cast("long").alias("counted"), "tokens")
+    return children(t).select("id", T.token_count(F.col("text")).cast("long").alias("counted"), "tokens")
 
 
 @query()
