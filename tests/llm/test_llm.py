@@ -2,6 +2,7 @@
 
 import os
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -323,6 +324,15 @@ def test_spam_pages(spark, text, expected):
     assert got == ({9} if expected else set())
 
 
+def test_all_words_of_a_page_vote_on_its_language():
+    late = "pendule mallette échiquier " * 10 + "le directeur peut reporter la ronde si la salle est fermée"
+    assert spam.segments(late)[0] == "fr"
+    between = "\n".join(x for n in range(8) for x in (f"pendule mallette {n}", "le joueur et la pendule"))
+    assert spam.segments(between)[0] == "fr"
+    accents = "échecs, départage, échiquier, " * 20 + "le joueur et la pendule du club"
+    assert spam.segments(unicodedata.normalize("NFD", accents)) == spam.segments(accents)
+
+
 def test_no_pages_no_spam(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spam.spam_pages(df, "doc_id", "text").count() == 0
