@@ -230,8 +230,10 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim:
     # copies: only if some vector has many, the rest of the plan works on the first k + 1 of each
     copied = usable.groupBy("h").count().where(F.col("count") > COPIES).limit(1).count() > 0
     extra = None
+    # a row delivered again would take the place of another neighbour in the scan
+    usable = usable.dropDuplicates(["id", "h"])
     if copied:
-        single = usable.dropDuplicates(["id", "h"])
+        single = usable
         ranked = single.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= k + 1)
         first = ranked.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") > k)
         extra = single.select("id", "h").join(first, "h").where(F.col("id") > F.col("first")[k]).select("id", F.explode(F.slice("first", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))

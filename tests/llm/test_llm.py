@@ -181,6 +181,18 @@ def test_neighbours_equal_brute_force(spark, copies):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [3, 30])
+def test_an_id_delivered_again_takes_no_other_place(spark, times):
+    rng = np.random.default_rng(6)
+    rows = [(f"n{n:02d}", (1 + rng.normal(size=8) * 0.05).tolist()) for n in range(40)]
+    again = rows + [rows[n] for n in (range(40) if times == 3 else (7,)) for _ in range(times - 1)]
+    df = spark.createDataFrame(again, "id string, embedding array<float>")
+    got = {}
+    for r in vectors.neighbours(df, 10, 0.9, dim=8).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert got == {i: o for i, o in brute(rows, 10, 0.9).items() if o}
+
+
 def test_neighbours_without_a_threshold_reach_the_recall(spark):
     rows = vector_rows(3)
     df = spark.createDataFrame(rows, "id string, embedding array<float>")
