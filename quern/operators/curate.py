@@ -197,7 +197,11 @@ def keyword_counts(docs: DataFrame, stop: Sequence[str], n: int = 8, least: int
 def connectors(docs: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """doc_id, kind, sentence: for each paragraph and kind of connector the first sentence with one."""
     parts = docs.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph", "p")).withColumn("s", T.sentences(F.col("p")))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.get(F.filter("s", lambda x, p=p: x.rlike(p)), 0).alias("sentence")) for k, p in kinds.items()))).alias("x")
+
+    def first(pattern: str) -> Column:  # a second argument of the lambda would be the sentence's index
+        return F.get(F.filter("s", lambda x: x.rlike(pattern)), 0)
+
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), first(p).alias("sentence")) for k, p in kinds.items()))).alias("x")
     return parts.select("doc_id", "paragraph", each).select("doc_id", "paragraph", "x.*").where("sentence is not null")
 
 

@@ -403,6 +403,27 @@ def connectors(t):
     return c.where(F.col("text").rlike(r"(?i)\bcependant\b|\ben cas de\b")).select("id", F.lit("Extrait").alias("kind"))
 
 
+#: French connectors by kind.
+CONNECTOR_KINDS = {
+    "nli_consequent": "par conséquent|en conséquence|par consequent|en consequence",
+    "nli_contrast": "cependant|toutefois|néanmoins|en revanche|neanmoins",
+    "causal": r"\bcar\b|parce qu|en raison de|du fait de",
+    "conditional": "sous réserve|à condition qu|dans le cas où|sauf si|sous reserve|a condition qu|dans le cas ou",
+    "reference": "en application de|conformément|au sens de|tel que prévu|en vertu de|conformement|tel que prevu",
+    "addition": "de plus|en outre|par ailleurs",
+}
+#: The same in SQL, where the bounds of words are those of ASCII.
+_SQL_KINDS = {k: p.replace(r"\bcar\b", r"(?:^|[^\p{L}\p{N}_])car(?:$|[^\p{L}\p{N}_])") for k, p in CONNECTOR_KINDS.items()}
+_FIRST_OF_KIND = " union all ".join(f"select id, paragraph, '{k}' as kind, list_filter(s, lambda x: regexp_matches(x, '(?i){p}'))[1] as sentence from s" for k, p in _SQL_KINDS.items())
+
+
+@query(f"with {CHILDREN}, p as (select id, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: {stripped('x')}), lambda x: length(x) > 40) as ps from ch where text is not null), e as (select id, unnest(range(len(ps))) as paragraph, unnest(ps) as p from p), s as (select id, paragraph, list_filter(list_transform(regexp_split_to_array(regexp_replace(p, '([.!?]){WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {stripped('x')}), lambda x: length(x) > 20) as s from e), f as ({_FIRST_OF_KIND}) select id, paragraph, kind, sentence from f where sentence is not null")
+def connector_sentences(t):
+    """For each paragraph and kind of connector the first sentence with one."""
+    kinds = {k: f"(?iU){p}" for k, p in CONNECTOR_KINDS.items()}
+    return curate.connectors(children(t).select(F.col("id").alias("doc_id"), "text"), kinds).withColumnRenamed("doc_id", "id")
+
+
 # -- migration and exports
 
 @query(f"with {UVO}, l as (select *, list_filter(string_split(upper(regexp_replace(coalesce(ans, ''), '[^A-Za-z]', '', 'g')), ''), lambda x: x <> '') as ls from uv) select id, text as question, nullif(array_to_string(list_filter(list_transform(ls, lambda k: choices[k]), lambda x: x is not null), ' | '), '') as expected_answer, nullif(upper(regexp_extract(coalesce(ans, ''), '([A-Fa-f])', 1)), '') as correct_answer, substr(explanation, 1, 500) as answer_explanation, round_even(case when coalesce(rate, 0) = 0 then 0.5 else 1 - rate end, 2) as difficulty from l")

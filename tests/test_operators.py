@@ -296,3 +296,20 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination(120)
     closed = {(r.user, r.n) for r in spark.table("s").collect()}
     assert ("a", 2) in closed and ("b", 1) in closed
+
+
+def test_connector_sentences_of_each_paragraph_and_kind(spark, tmp_path):
+    from quern.plans import registry
+
+    first = "Le capitaine signe la feuille de match. Cependant, l'arbitre la garde chez lui. Toutefois il la rend car elle est due."
+    second = "EN OUTRE, le club paie les frais. Par conséquent, la ligue les rembourse à condition que tout soit signé."
+    rows = [("a", f"{first}\n\n{second}", 1), ("a", "old delivery: cependant, il est remplacé par la suite.", 0), ("b", "Le joueur est à l'écart de la salle de jeu toute la ronde.", 1), ("c", None, 1), ("d", "car court", 1)]
+    spark.createDataFrame(rows, "id string, text string, indexed_at long").write.parquet(f"{tmp_path}/children.parquet")
+    got = {tuple(r) for r in registry.QUERIES["connector_sentences"](spark, str(tmp_path)).select("id", "paragraph", "kind", "sentence").collect()}
+    assert got == {
+        ("a", 0, "nli_contrast", "Cependant, l'arbitre la garde chez lui."),
+        ("a", 0, "causal", "Toutefois il la rend car elle est due."),
+        ("a", 1, "addition", "EN OUTRE, le club paie les frais."),
+        ("a", 1, "nli_consequent", "Par conséquent, la ligue les rembourse à condition que tout soit signé."),
+        ("a", 1, "conditional", "Par conséquent, la ligue les rembourse à condition que tout soit signé."),
+    }
