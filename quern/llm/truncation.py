@@ -10,7 +10,8 @@ as counts over all values and joined back to each value's last words, so no tabl
 * what stands last: half a character, an opening mark, a comma, a hyphen or a bracket that isn't closed.
 
 Numbers and names are counted by kind.  Values of fewer than ``MIN_WORDS`` words, null, empty and blank ones are never
-cut.  Repeated rows count once, by key.  A value that ends in a full stop, question mark or closing bracket is complete.
+cut.  Repeated rows count once, by key.  A value that ends in a full stop, question mark or closing bracket is cut only by
+stricter bounds: its last word is none that the corpus has, or one that hardly ever ends a sentence.
 """
 
 from __future__ import annotations
@@ -34,11 +35,16 @@ GOES_ON_AT_LIMIT = 0.5
 #: A length is a limit if it is the longest, or nearly, and this many times as frequent as its neighbours.
 PILE_UP = 3
 LEAST_LIMIT = 40
+#: For values that end in a full stop or closing mark: how often the corpus has longer words, and a
+#: word that is seen so often and has at most this share of sentences end after it.
+CLOSED_BEGINS, CLOSED_SEEN, CLOSED_ENDS = 5, 2000, 0.001
 #: A bracket that is opened so near to the end, and not closed, was cut.
 BRACKETS, OPEN_WITHIN = ("()", "[]", "«»"), 24
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _ELLIPSIS = regex.compile(r"(?:\s*(?:[\[(]\s*)?(?:…|\.\.\.+)(?:\s*[\])])?)+$")
+#: A note that the value was cut; it stands for an ellipsis.
+_NOTE = regex.compile(r"\s*[\[(<]\s*(?:coup[ée]e?|tronqu[ée]e?|cut|truncated|abgeschnitten|gekürzt|cortado|truncado)\s*[\])>]\s*$", regex.I)
 _STRONG = regex.compile(r"[.!?。؟][\s\"'»”’)\]*_]*$")
 _SOFT = regex.compile(r"[;:)\]»”*_][\s*_]*$")
 _END_GAP = regex.compile(r"^[\"'»”’)\]*_]*\s*[.!?;](?!\.)[\"'»”’)\]*_]*(?:\s|$)|^[\"'»”’)\]*_]*[^\S\n]*\n")
@@ -77,6 +83,7 @@ def _mark(rest: str) -> str:
 def read(text: str) -> tuple[list[tuple[str, str, str, int]], list[str], str]:
     """For each word two words of context, its shape and what follows (ENDS, GOES, UNSURE); all words folded; the mark
     at the end."""
+    text = _NOTE.sub("…", text)
     found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
     out, plain = [], []
     a, b, first = "#B", "#B", True
@@ -174,7 +181,7 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
 
     kind = values.schema["key"].dataType.simpleString()
     tails = values.select("key", "kind", "source", "text").mapInArrow(_tails, f"key {kind}, kind string, source string, length int, mark string, c1 string, c2 string, word string, plain string, broken boolean, opening boolean")
-    tails = tails.where(~F.col("mark").isin("strong", "soft")).withColumn("origin", F.coalesce("source", F.lit("")))
+    tails = tails.withColumn("origin", F.coalesce("source", F.lit("")))
     joined = (
         tails.join(vocabulary, "plain", "left")
         .join(trie, "plain", "left")
@@ -186,7 +193,8 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
         .fillna(0, ["known", "begins", "longer", *(f"{c}{k}" for c in "mug" for k in "123")])
         .fillna(False, ["at_limit"])
     )
-    own = F.when(F.col("mark") == "none", 1).otherwise(0)
+    closed = F.col("mark").isin("strong", "soft")
+    own = F.when(closed | (F.col("mark") == "none"), 1).otherwise(0)
     total = {k: F.col(f"m{k}") + F.col(f"u{k}") - own + F.col(f"g{k}") for k in (3, 2, 1)}
     share = {k: (F.col(f"m{k}") + F.col(f"u{k}") - own) / total[k] for k in (3, 2, 1)}
     joined = joined.withColumn("p_end", F.when(total[3] >= 8, share[3]).when(total[2] >= 8, share[2]).when(total[1] >= 8, share[1]).when(total[3] >= 2, share[3]))
@@ -196,4 +204,8 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
     only_longer = (F.col("longer") >= 3) & (here <= 0.02 * F.col("longer")) | (F.col("longer") >= 1) & (here == 0) & ((total[2] == 0) | (F.coalesce("p_end", F.lit(0.0)) < 0.3))
     limit = F.col("at_limit") & (F.coalesce("p_end", F.lit(0.0)) < F.when(F.col("mark") == "ellipsis", 0.9).otherwise(GOES_ON_AT_LIMIT))
     spaced = (F.col("mark") == "space") & F.col("at_limit")
-    return joined.where(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced).select("key", "kind", "source", "length", "mark", "p_end", "known", "begins", "longer", "at_limit")
+    # a closed value's last word counts as a known one that ends a sentence: without the value itself, and by stricter bounds
+    unseen = (F.col("known") <= 1) & (F.col("begins") >= CLOSED_BEGINS) & (F.col("longer") >= 3) & (here <= 1)
+    never = F.coalesce((total[1] >= CLOSED_SEEN) & (share[1] <= CLOSED_ENDS) & (F.coalesce("p_end", F.lit(0.0)) <= CLOSED_ENDS), F.lit(False))
+    cut = F.when(closed, unseen | never).otherwise(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced)
+    return joined.where(cut).select("key", "kind", "source", "length", "mark", "p_end", "known", "begins", "longer", "at_limit")

@@ -66,6 +66,13 @@ def test_cut_values_by_words_contexts_and_marks(spark):
     assert got == {f"x{n}" for n in range(len(cut))}
 
 
+def test_a_mark_at_the_cut_makes_no_value_complete(spark):
+    cut = ["Le club organisateur peut afficher la grille améri.", "La direction de groupe peut reporter la ren [coupé]"]
+    whole = ["Chaque capitaine doit signer la feuille de match avec prudence !", "La direction de groupe peut reporter la rencontre (dimanche)."]
+    df = p1_rows(spark, cut + whole)
+    assert {r.key for r in truncation.cut_values(df, df.select("kind", "text"), checkpoint).collect()} == {"x0", "x1"}
+
+
 def test_length_limits_tell_word_ends_from_cuts(spark):
     long = "Chaque capitaine doit signer la feuille de match avec prudence"
     df = p1_rows(spark, [f"{long} ou " for _ in range(30)])
