@@ -9,8 +9,8 @@ as counts over all values and joined back to each value's last words, so no tabl
 * length: values of this source and field pile up at exactly this length;
 * what stands last: half a character, an opening mark, a comma, a hyphen or a bracket that isn't closed.
 
-Numbers and names are counted by kind.  Values of fewer than ``MIN_WORDS`` words, null, empty and blank ones are never
-cut.  Repeated rows count once, by key.  A value that ends in a full stop, question mark or closing bracket is cut only by
+Numbers and names are counted by kind.  Values of fewer than ``MIN_WORDS`` words are judged by the vocabulary and by
+what stands last only; null, empty and blank ones are never cut.  Repeated rows count once, by key.  A value that ends in a full stop, question mark or closing bracket is cut only by
 stricter bounds: its last word is none that the corpus has, or one that hardly ever ends a sentence.
 """
 
@@ -140,13 +140,13 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, kind, source, text in zip(*(c.to_pylist() for c in batch.columns)):
             found, plain, mark = read(text or "")
-            if len(found) >= MIN_WORDS:
+            if found:
                 a, b, w, _ = found[-1]
                 rest = (text or "").rstrip()
-                rows.append((key, kind, source, len(text), mark, a, b, w, plain[-1], rest.endswith("�"), rest[-1:] in ",«([{<-‐–'’/&+=" or rest[-1:] == '"' and rest.count('"') % 2 == 1 or any(rest.rfind(a, -OPEN_WITHIN) > rest.rfind(b) for a, b in BRACKETS)))
-        columns = list(zip(*rows)) if rows else [[]] * 11
-        types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "kind", "source", "length", "mark", "c1", "c2", "word", "plain", "broken", "opening"])
+                rows.append((key, kind, source, len(text), len(found) < MIN_WORDS, mark, a, b, w, plain[-1], rest.endswith("�"), rest[-1:] in ",«([{<-‐–'’/&+=" or rest[-1:] == '"' and rest.count('"') % 2 == 1 or any(rest.rfind(a, -OPEN_WITHIN) > rest.rfind(b) for a, b in BRACKETS)))
+        columns = list(zip(*rows)) if rows else [[]] * 12
+        types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "kind", "source", "length", "short", "mark", "c1", "c2", "word", "plain", "broken", "opening"])
 
 
 def _prefixes(word: str) -> F.Column:
@@ -180,7 +180,7 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
     limits = limits.where((F.col("length") >= LEAST_LIMIT) & (F.col("n") > PILE_UP * F.col("near") + 5)).select("kind", F.coalesce("source", F.lit("")).alias("origin"), "length", F.lit(True).alias("at_limit"))
 
     kind = values.schema["key"].dataType.simpleString()
-    tails = values.select("key", "kind", "source", "text").mapInArrow(_tails, f"key {kind}, kind string, source string, length int, mark string, c1 string, c2 string, word string, plain string, broken boolean, opening boolean")
+    tails = values.select("key", "kind", "source", "text").mapInArrow(_tails, f"key {kind}, kind string, source string, length int, short boolean, mark string, c1 string, c2 string, word string, plain string, broken boolean, opening boolean")
     tails = tails.withColumn("origin", F.coalesce("source", F.lit("")))
     joined = (
         tails.join(vocabulary, "plain", "left")
@@ -207,5 +207,7 @@ def cut_values(values: DataFrame, corpus: DataFrame, checkpoint=lambda df: df) -
     # a closed value's last word counts as a known one that ends a sentence: without the value itself, and by stricter bounds
     unseen = (F.col("known") <= 1) & (F.col("begins") >= CLOSED_BEGINS) & (F.col("longer") >= 3) & (here <= 1)
     never = F.coalesce((total[1] >= CLOSED_SEEN) & (share[1] <= CLOSED_ENDS) & (F.coalesce("p_end", F.lit(0.0)) <= CLOSED_ENDS), F.lit(False))
-    cut = F.when(closed, unseen | never).otherwise(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced)
+    # the context of a short value says little
+    by_itself = F.col("broken") | F.col("opening") | unknown & (F.col("u1") <= own)
+    cut = F.when(closed, unseen | never & ~F.col("short")).when(F.col("short"), by_itself).otherwise(F.col("broken") | F.col("opening") | unknown | only_longer | (p < GOES_ON) | limit | spaced)
     return joined.where(cut).select("key", "kind", "source", "length", "mark", "p_end", "known", "begins", "longer", "at_limit")

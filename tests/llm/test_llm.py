@@ -73,6 +73,13 @@ def test_a_mark_at_the_cut_makes_no_value_complete(spark):
     assert {r.key for r in truncation.cut_values(df, df.select("kind", "text"), checkpoint).collect()} == {"x0", "x1"}
 
 
+def test_short_values_are_judged_by_their_last_word_and_mark(spark):
+    cut = ["Chaque cap", "La dire…", "Le club,"]
+    whole = ["Chaque club", "Non", "Le tableau.", "Oui", "Le blâme"]
+    df = p1_rows(spark, cut + whole)
+    assert {r.key for r in truncation.cut_values(df, df.select("kind", "text"), checkpoint).collect()} == {"x0", "x1", "x2"}
+
+
 def test_length_limits_tell_word_ends_from_cuts(spark):
     long = "Chaque capitaine doit signer la feuille de match avec prudence"
     df = p1_rows(spark, [f"{long} ou " for _ in range(30)])
