@@ -1,17 +1,23 @@
 """Documents in Markdown cut into children, parents and tables.
 
-Documents are independent, so this is a map over rows in Arrow batches: cut out the tables, split at headings, split what
-is too long by separators, group children under parents, carry pages, merge small neighbours.  Null and empty documents
-have no parts.
+Documents are independent, so this is a map over rows in Arrow batches.  A document becomes a sequence of units (text under
+one heading, within the limit of tokens).  Everything after that works on places in this sequence: parents are bins of
+the places that share their two upper headings, children are spans of places, pages are carried along the lines, and
+tables know the unit that held them.  Null and empty documents have no parts.
+
+Token counts are those of words and signs unless a ``count`` is passed, such as ``bpe_counter(path)``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate, dropwhile, groupby
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +27,7 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _TABLE_LINE = re.compile(r"^\s*\|.*\|\s*$")
 _HEADING = re.compile(r"^(#{1,4})\s+(.*\S)\s*$")
 _ARTICLE = re.compile(r"^(\d+(?:\.\d+)*\.?)\s")
-_PLACEHOLDER = re.compile(r"\s*<!-- TABLE_\d+ -->\s*")
+_PLACEHOLDER, _NUMBERED = re.compile(r"\s*<!-- TABLE_\d+ -->\s*"), re.compile(r"<!-- TABLE_(\d+) -->")
 #: Page marks and image comments that extraction leaves behind.
 _PAGE_MARK, _IMAGE = re.compile(r"\n\s*[A-Z][A-Z0-9]{1,3}-\d+/\d+\s*\n"), "<!-- image -->"
 
@@ -31,17 +37,30 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
-@dataclass
-class Piece:
+def bpe_counter(path: str) -> Callable[[str], int]:
+    """Counts the tokens of a public BPE tokenizer, whose file is read once by each worker."""
+
+    def count(text: str) -> int:
+        return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class Section(NamedTuple):
+    """A text and the headings h1 to h4 above it, empty where there is none."""
+
     text: str
-    headings: dict[int, str] = field(default_factory=dict)
-    parent: str = ""
-    tokens: int = 0
-    page: int | None = None
-    section: str = ""
+    headings: tuple[str, ...] = ("",) * 4
 
     def path(self, depth: int = 4) -> str:
-        return " > ".join(self.headings[k] for k in range(1, depth + 1) if self.headings.get(k))
+        return " > ".join(filter(None, self.headings[:depth]))
 
 
 def cut_tables(markdown: str) -> tuple[str, list[str]]:
@@ -66,14 +85,14 @@ def cut_tables(markdown: str) -> tuple[str, list[str]]:
     return "\n".join(kept), found
 
 
-def by_headings(text: str) -> list[Piece]:
+def by_headings(text: str) -> list[Section]:
     """Sections with the headings above them; a heading stays in its section's text."""
     out, open_headings, held = [], {}, []
 
     def close() -> None:
         body = "\n".join(held).strip()
         if body:
-            out.append(Piece(body, dict(open_headings)))
+            out.append(Section(body, tuple(open_headings.get(k, "") for k in range(1, 5))))
         held.clear()
 
     fenced = False
@@ -98,9 +117,7 @@ def by_separators(text: str, limit: int, overlap: int, count: Callable[[str], in
     sep = next((s for s in separators if s == "" or s in text), "")
     rest = separators[separators.index(sep) + 1 :] if sep else ()
     if sep == "":
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        step = max(1, limit - overlap)
-        return [text[spans[k][0] : spans[min(k + limit, len(spans)) - 1][1]] for k in range(0, max(1, len(spans) - overlap), step)]
+        return _hard_cuts(text, limit, overlap, count)
     out, held, size = [], [], 0
     for part in text.split(sep):
         n = count(part)
@@ -121,129 +138,211 @@ def by_separators(text: str, limit: int, overlap: int, count: Callable[[str], in
     return [x for x in out if x]
 
 
+def _hard_cuts(text: str, limit: int, overlap: int, count: Callable[[str], int]) -> list[str]:
+    """Pieces of words and signs, each the longest that ``count`` allows, found by bisection."""
+    words = [m.span() for m in _TOKEN.finditer(text)]
+    out, begin = [], 0
+    while begin < len(words):
+        piece = lambda stop: text[words[begin][0] : words[stop - 1][1]]  # noqa: B023, E731
+        fits, over = begin + 1, min(begin + limit, len(words)) + 1
+        while over - fits > 1:
+            middle = (fits + over) // 2 if count(piece(over - 1)) > limit else over - 1
+            fits, over = (middle, over) if count(piece(middle)) <= limit else (fits, middle)
+        out.append(piece(fits))
+        if fits == len(words):
+            break
+        begin = max(begin + 1, fits - overlap)
+    return out
+
+
 def has_body(text: str) -> bool:
     """Something besides headings and placeholders."""
     return bool(re.sub(r"^#{1,6}\s+.*$", "", _PLACEHOLDER.sub("", text).strip(), flags=re.M).strip())
 
 
-def merge_small(children: list[Piece], count: Callable[[str], int], small: int = SMALL_TOKENS, limit: int = CHILD_TOKENS) -> list[Piece]:
-    """Neighbours under one parent joined while both are small and fit together: a fold from the left."""
-    out: list[Piece] = []
-    for child in children:
-        last = out[-1] if out else None
-        if last and last.parent == child.parent and max(last.tokens, child.tokens) < small and last.tokens + child.tokens <= limit:
-            last.text += "\n\n" + child.text
-            last.tokens = count(last.text)
-            if child.section and child.section != last.section:
-                last.section += " + " + child.section
-        else:
-            out.append(child)
-    return out
+def bins(sizes: Sequence[int], limit: int) -> np.ndarray:
+    """The bin of each size: consecutive sizes share one while they add up to ``limit`` at most; a larger one is alone.
+
+    The last place that fits is found in the running sums, so a bin costs one search."""
+    upto = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))])
+    edges = [0]
+    while edges[-1] < len(sizes):
+        fits = int(np.searchsorted(upto, upto[edges[-1]] + limit, side="right")) - 1
+        edges.append(max(fits, edges[-1] + 1))
+    return np.repeat(np.arange(len(edges) - 1), np.diff(edges))
 
 
-def group_parents(children: list[Piece], source: str, count: Callable[[str], int], limit: int = PARENT_TOKENS) -> list[dict]:
-    """Parents of all children under the same two upper headings, wherever they stand; a group over the limit is cut
-    greedily.  Sets each child's parent."""
-    groups: dict[tuple[str, str], list[Piece]] = {}
-    for child in children:
-        groups.setdefault((child.headings.get(1, ""), child.headings.get(2, "")), []).append(child)
+def spans(homes: Sequence[str], texts: Sequence[str], count: Callable[[str], int], small: int = SMALL_TOKENS, limit: int = CHILD_TOKENS) -> list[tuple[int, int]]:
+    """Children as spans of units: a run of small units of one parent is cut wherever the span so far is no longer small."""
+    sizes = [count(t) for t in texts]
     out = []
-    for (h1, h2), members in groups.items():
-        bins = [members]
-        if count("\n\n".join(m.text for m in members)) > limit:
-            bins, size = [[]], 0
-            for m in members:
-                n = count(m.text)
-                if bins[-1] and size + n > limit:
-                    bins.append([])
-                    size = 0
-                bins[-1].append(m)
-                size += n
-        for group in bins:
-            text = "\n\n".join(m.text for m in group)
-            parent = {"id": f"{source}-p{len(out):03d}", "text": text, "section": " > ".join(x for x in (h1, h2) if x) or "root", "tokens": count(text)}
-            for m in group:
-                m.parent = parent["id"]
-            out.append(parent)
+    for (_, is_small), run in groupby(range(len(texts)), key=lambda k: (homes[k], sizes[k] < small)):
+        places = list(run)
+        begin, end = places[0], places[-1] + 1
+        while begin < end:
+            stop, size = begin + 1, sizes[begin]
+            while is_small and stop < end and size < small and size + sizes[stop] <= limit:
+                stop += 1
+                size = count("\n\n".join(texts[begin:stop]))
+            out.append((begin, stop))
+            begin = stop
     return out
 
 
-def line_pages(markdown: str, heading_pages: dict[str, int], text_pages: list[tuple[str, int]]) -> dict[str, int]:
-    """Page of each line, by its first 80 characters: known headings and texts set it, lines between carry it on.
+def line_pages(markdown: str, heading_pages: dict[str, int], text_pages: Sequence[tuple[str, int]] = ()) -> dict[str, int]:
+    """Page of each line, by its first 80 characters; the last line of a key wins.
 
-    The n-th occurrence of a text takes the n-th page known for it; the last line with a key wins."""
+    A known heading sets the page, else the next page that is known for the line's text; texts whose pages are used up,
+    and unknown lines, keep the page they are on."""
     if not heading_pages:
         return {}
-    known: dict[str, list[int]] = {}
-    for text, page in text_pages:
-        known.setdefault(text.strip()[:80], []).append(page)
-    at, used, out = min(heading_pages.values()), {}, {}
-    for line in markdown.split("\n"):
-        key = line.strip().lstrip("#").strip()[:80]
-        if not key:
-            continue
-        if key in heading_pages:
-            at = heading_pages[key]
-        elif key in known:
-            k = used.get(key, 0)
-            at = known[key][min(k, len(known[key]) - 1)]
-            used[key] = k + 1
-        out[key] = at
-    return out
+    bare = lambda line: line.strip().lstrip("#").strip()
+    coming: dict[str, Iterator[int]] = {k: iter([page for _, page in ps]) for k, ps in groupby(sorted(((bare(t)[:80], p) for t, p in text_pages), key=lambda x: x[0]), key=lambda x: x[0])}
+    lines = [line for line in map(bare, markdown.split("\n")) if line]
+    known = [heading_pages[x] if x in heading_pages else next(coming.get(x[:80], iter(())), None) for x in lines]
+    carried = accumulate(known, lambda at, new: at if new is None else new, initial=min(heading_pages.values()))
+    next(carried)
+    return dict(zip((x[:80] for x in lines), carried))
 
 
-def chunk(markdown: str, source: str, heading_pages: dict[str, int] | None = None, text_pages: list[tuple[str, int]] | None = None, count: Callable[[str], int] = count_tokens) -> list[dict]:
-    """Rows of kind child, parent or table."""
+def chunk(markdown: str, source: str, heading_pages: dict[str, int] | None = None, text_pages: Sequence[tuple[str, int]] | None = None, count: Callable[[str], int] = count_tokens) -> list[dict]:
+    """Rows of kind child, parent or table.
+
+    Of several parents with one section, the last is the home of the section's tables."""
+    pages_of = heading_pages or {}
     clean, blocks = cut_tables(markdown)
     sections = by_headings(clean)
-    children = [Piece(t, s.headings) for s in sections for t in by_separators(s.text, CHILD_TOKENS, OVERLAP, count)]
-    children = [c for c in children if has_body(c.text)]
-    parents = group_parents(children, source, count)
-    articles = {}
-    pages = line_pages(markdown, heading_pages or {}, text_pages or [])
-    default = min(heading_pages.values()) if heading_pages else 1
-    for c in children:
-        m = _ARTICLE.match(c.text)
-        c.text = _PLACEHOLDER.sub("\n", c.text).strip()
-        articles[id(c)] = m.group(1).rstrip(".") if m else None
-        c.tokens, c.section = count(c.text), c.path()
-        keys = (line.strip().lstrip("#").strip()[:80] for line in c.text.split("\n"))
-        c.page = next((pages[k] for k in keys if k in pages), default)
-    out = [{"kind": "child", "id": f"{source}-c{k:04d}", "text": c.text, "parent_id": c.parent, "section": c.section, "article_num": articles[id(c)], "tokens": c.tokens, "page": c.page} for k, c in enumerate(merge_small(children, count))]
-    out += [{"kind": "parent", "id": p["id"], "text": p["text"], "parent_id": None, "section": p["section"], "article_num": None, "tokens": p["tokens"], "page": None} for p in parents]
-    by_section = {p["section"]: p["id"] for p in reversed(parents)}
+    units = [Section(t, s.headings) for s in sections for t in by_separators(s.text, CHILD_TOKENS, OVERLAP, count)]
+    units = [u for u in units if has_body(u.text)]
+
+    # parents: all units of one pair of upper headings, wherever they stand, in bins
+    homes, parents = [""] * len(units), []
+    by_pair: dict[tuple[str, ...], list[int]] = {}
+    for k, u in enumerate(units):
+        by_pair.setdefault(u.headings[:2], []).append(k)
+    for pair, members in by_pair.items():
+        joined = count("\n\n".join(units[k].text for k in members))
+        numbers = bins([count(units[k].text) for k in members], PARENT_TOKENS) if joined > PARENT_TOKENS else np.zeros(len(members), dtype=np.int64)
+        for n in range(int(numbers[-1]) + 1):
+            inside = [members[k] for k in np.flatnonzero(numbers == n)]
+            text = "\n\n".join(units[k].text for k in inside)
+            ident = f"{source}-p{len(parents):03d}"
+            parents.append(_row("parent", ident, text, count(text), " > ".join(filter(None, pair)) or "root"))
+            for k in inside:
+                homes[k] = ident
+
+    texts = [_PLACEHOLDER.sub("\n", u.text).strip() for u in units]
+    pages = line_pages(markdown, pages_of, text_pages or ())
+    first_page = min(pages_of.values(), default=1)
+    children = []
+    for k, (a, b) in enumerate(spans(homes, texts, count)):
+        text = "\n\n".join(texts[a:b])
+        names = [u.path() for u in units[a:b]]
+        # once a second section is in the name, each further unit adds its own
+        section = " + ".join([names[0], *filter(None, dropwhile(("", names[0]).__contains__, names))])
+        numbered = _ARTICLE.match(units[a].text)
+        lines = (line.strip().lstrip("#").strip()[:80] for line in texts[a].split("\n"))
+        page = next((pages[x] for x in lines if x in pages), first_page)
+        children.append(_row("child", f"{source}-c{k:04d}", text, count(text), section, homes[a], numbered and numbered.group(1).rstrip("."), page))
+
+    # tables: the section whose text holds the placeholder
+    holder = {int(n): s for s in reversed(sections) for n in _NUMBERED.findall(s.text)}
+    by_section = {p["section"]: p["id"] for p in parents}
+    tables = []
     for k, block in enumerate(blocks):
-        home = next((s for s in sections if f"<!-- TABLE_{k} -->" in s.text), Piece(""))
-        section = home.path()
-        page = next((p for h, p in (heading_pages or {}).items() if h in section), None)
-        out.append({"kind": "table", "id": f"{source.rsplit('.', 1)[0]}-table{k}", "text": block, "parent_id": by_section.get(home.path(2), by_section.get(section, "")), "section": section, "article_num": None, "tokens": count(block), "page": page})
+        home = holder.get(k, Section(""))
+        page = next((p for h, p in pages_of.items() if h in home.path()), None)
+        tables.append(_row("table", f"{source.rsplit('.', 1)[0]}-table{k}", block, count(block), home.path(), by_section.get(home.path(2), by_section.get(home.path(), "")), None, page))
+    return children + parents + tables
+
+
+def chunk_nested(markdown: str, source: str, count: Callable[[str], int] = count_tokens, parent: int = 1024, child: int = CHILD_TOKENS, least: int = 20) -> list[dict]:
+    """Rows of kind child and parent, where children are cut inside each parent: headings, then parents of at most
+    ``parent`` tokens, then children of at most ``child``; children of fewer than ``least`` tokens are dropped."""
+    out: list[dict] = []
+    for section in by_headings(markdown):
+        for text in by_separators(section.text, parent, 0, count):
+            ident = f"{source}-p{sum(r['kind'] == 'parent' for r in out):03d}"
+            inside = [t for t in by_separators(text, child, OVERLAP, count) if count(t) >= least]
+            out.append(_row("parent", ident, text, count(text), section.path() or "root"))
+            out += [_row("child", f"{ident}-c{k:02d}", t, count(t), section.path(), ident) for k, t in enumerate(inside)]
     return out
 
 
+FIELDS = ("kind", "id", "text", "parent_id", "section", "article_num", "tokens", "page")
 SCHEMA = "source string, kind string, id string, text string, parent_id string, section string, article_num string, tokens int, page int"
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """All parts of all documents.  ``docs``: source, markdown and, if known, heading_pages (map) and text_pages (array of
-    struct of text and page)."""
-    columns = ["source", "markdown"]
+def _row(kind: str, ident: str, text: str, tokens: int, section: str, parent_id: str | None = None, article_num: str | None = None, page: int | None = None) -> dict:
+    return {"kind": kind, "id": ident, "text": text, "parent_id": parent_id, "section": section, "article_num": article_num, "tokens": tokens, "page": page}
+
+
+def chunk_documents(docs: DataFrame, count: Callable[[str], int] = count_tokens, nested: bool = False) -> DataFrame:
+    """All parts of all documents, by ``chunk`` or, if ``nested``, by ``chunk_nested``.
+
+    ``docs``: source, markdown and, if known, heading_pages (map) and text_pages (array of struct of text and page); other
+    columns are ignored."""
     extra = [c for c in ("heading_pages", "text_pages") if c in docs.columns]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["source", "kind", "id", "text", "parent_id", "section", "article_num", "tokens", "page"]
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                if not isinstance(r.markdown, str) or not r.markdown.strip():
-                    continue
-                source = r.source if isinstance(r.source, str) else "unknown"
-                headings = dict(r.heading_pages) if "heading_pages" in extra and r.heading_pages is not None else None
-                texts = [(t["text"], t["page"]) for t in r.text_pages] if "text_pages" in extra and r.text_pages is not None else None
-                rows += [{"source": r.source, **x} for x in chunk(r.markdown, source, headings, texts)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"tokens": "Int32", "page": "Int32"})
-
-    return docs.select(*columns, *extra).mapInPandas(run, SCHEMA)
+    def parts(source: str | None, markdown: str | None, given: dict) -> list[dict]:
+        if not markdown or not markdown.strip():
+            return []
+        name = source or "unknown"
+        if nested:
+            return chunk_nested(markdown, name, count)
+        texts = [(t["text"] or "", t["page"]) for t in given.get("text_pages") or () if t]
+        return chunk(markdown, name, dict(given.get("heading_pages") or {}), texts, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32() if c in ("tokens", "page") else pa.string() for c in FIELDS]
+        for batch in batches:
+            sources, markdowns, *others = (c.to_pylist() for c in batch.columns)
+            found = [parts(s, m, dict(zip(extra, more))) for s, m, *more in zip(sources, markdowns, *others)]
+            rows = [r for rs in found for r in rs]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(rs) for rs in found]).astype(np.int64))
+            columns = [pa.array([r[c] for r in rows], t) for c, t in zip(FIELDS, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], names=["source", *FIELDS])
+
+    return docs.select(F.col("source").cast("string").alias("source"), "markdown", *extra).mapInArrow(run, SCHEMA)
+
+
+def with_table_summaries(children: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Children and, as further children, the summaries of tables.
+
+    ``summaries``: id, summary_text, source, page, tokens, one row for each id; null and blank summaries give none."""
+    told = summaries.where(F.trim(F.coalesce("summary_text", F.lit(""))) != "")
+    as_child = told.select("source", F.lit("table_summary").alias("kind"), "id", F.col("summary_text").alias("text"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("section"), F.lit(None).cast("string").alias("article_num"), F.col("tokens").cast("int").alias("tokens"), F.col("page").cast("int").alias("page"))
+    return children.select(*SCHEMA_COLUMNS).unionByName(as_child)
+
+
+SCHEMA_COLUMNS = ("source", *FIELDS)
+
+
+#: How many characters of a normalised text may tell its page.
+SEGMENTS = (150, 100, 80, 60, 40, 30)
+
+
+def heading_pages(items: DataFrame) -> DataFrame:
+    """source, heading_pages: the page of each heading, the last of equal ones.  ``items``: source, pos, label, text, page."""
+    last = items.where("label = 'heading' and page is not null and text is not null").groupBy("source", F.trim("text").alias("text")).agg(F.max_by("page", "pos").alias("page"))
+    return last.where("text <> ''").groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "page")))).alias("heading_pages"))
+
+
+def text_pages(items: DataFrame, head: int = 80) -> DataFrame:
+    """source, text_pages: the first characters and the page of all texts, in order.  ``items`` as in ``heading_pages``."""
+    rows = items.where("page is not null and trim(text) <> ''").select("source", F.struct("pos", F.substring(F.trim("text"), 1, head).alias("text"), "page").alias("x"))
+    return rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["text"].alias("text"), x["page"].alias("page"))).alias("text_pages"))
+
+
+def segment_pages(items: DataFrame) -> DataFrame:
+    """source, segment, page: an index of the beginnings of texts in six lengths; the last text of a beginning wins.
+
+    Texts are compared in lower case with white space collapsed; those of fewer than 10 characters have no place."""
+    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace("text", r"(?m)^#+\s*", "")), r"\s+", " "))
+    known = items.where("page > 0").select("source", "pos", "page", plain.alias("plain")).where(F.length("plain") >= 10)
+    cut = F.explode(F.filter(F.array(*map(F.lit, SEGMENTS)), lambda n: n <= F.length("plain")))
+    each = known.select("source", "pos", "page", "plain", cut.alias("n"))
+    return each.groupBy("source", F.expr("substring(plain, 1, n)").alias("segment")).agg(F.max_by("page", "pos").alias("page"))
 
 
 def enrich(children: DataFrame, contexts: DataFrame, abbreviations: dict[str, str]) -> DataFrame:

@@ -187,10 +187,62 @@ def test_chunking_sections_tables_and_small_neighbours(spark):
     assert {r.source for r in chunking.chunk_documents(docs).collect()} == {None}
 
 
-def test_greedy_merge_of_neighbours():
-    P = chunking.Piece
-    merged = chunking.merge_small([P("a", parent="p", tokens=100), P("b", parent="p", tokens=100), P("c", parent="q", tokens=10), P("d", parent="q", tokens=300)], lambda t: 199 if "b" in t else 5)
-    assert [m.text for m in merged] == ["a\n\nb", "c", "d"]
+def test_spans_of_small_neighbours():
+    sizes = {"a": 100, "b": 99, "c": 10, "d": 300, "e": 150, "f": 60}
+    count = lambda text: sum(sizes[x] for x in text.split("\n\n"))
+    assert chunking.spans(["p", "p", "q", "q"], list("abcd"), count) == [(0, 2), (2, 3), (3, 4)]
+    # a span that is no longer small takes no more
+    assert chunking.spans(["p"] * 4, list("aefc"), count) == [(0, 2), (2, 4)]
+    assert chunking.spans([], [], count) == []
+
+
+def test_bins_are_greedy():
+    assert chunking.bins([5, 5, 5, 20, 1, 9], 10).tolist() == [0, 0, 1, 2, 3, 3]
+    assert chunking.bins([], 10).tolist() == []
+    assert chunking.bins([0, 0, 30, 0], 10).tolist() == [0, 0, 1, 2]
+
+
+def test_pages_are_carried_and_used_up():
+    md = "# H1\na\nhead\n# H9\nx\nhead\ny\nhead\nz"
+    pages = chunking.line_pages(md, {"H1": 1, "H9": 9}, [("# head", 1), ("head", 2)])
+    # the third "head" has no page left and keeps the one it is on
+    assert pages == {"H1": 1, "a": 1, "head": 2, "H9": 9, "x": 9, "y": 2, "z": 2}
+    pages = chunking.line_pages("# H1\nhead\n# H9\nhead\nz", {"H1": 1, "H9": 9}, [("head", 1)])
+    assert (pages["head"], pages["z"]) == (9, 9)
+    assert chunking.line_pages(md, {}, [("a", 3)]) == {}
+
+
+def test_parents_are_grouped_by_the_two_upper_headings():
+    md = "# A\n\n## B\n\nun deux\n\n# C\n\ntrois\n\n# A\n\n## B\n\n### D\n\nquatre"
+    rows = chunking.chunk(md, "s")
+    parents = {r["section"]: r for r in rows if r["kind"] == "parent"}
+    assert set(parents) == {"A > B", "C"} and "un deux" in parents["A > B"]["text"] and "quatre" in parents["A > B"]["text"]
+    assert [r["section"] for r in rows if r["kind"] == "child"] == ["A > B", "C", "A > B > D"]
+    nested = chunking.chunk_nested("# A\n\n" + "mot " * 1500 + "\n\n# B\n\nmot", "s")
+    sizes = [r["tokens"] for r in nested if r["kind"] == "parent"]
+    assert max(sizes) <= 1024 and len(sizes) == 4 and {r["parent_id"] for r in nested if r["kind"] == "child"} <= {r["id"] for r in nested}
+
+
+def test_chunks_by_the_tokens_of_a_tokenizer(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    count = chunking.bpe_counter(tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([("a", "# T\n\n" + "échiquier" * 900, 1)], "source string, markdown string, other int")
+    got = chunking.chunk_documents(docs, count).where("kind = 'child'").collect()
+    assert got and all(r.tokens == count(r.text) for r in got)
+    long = "Le joueur déplace sa pièce. " * 300
+    got = chunking.chunk_documents(spark.createDataFrame([("a", long)], "source string, markdown string"), count).where("kind = 'child'").collect()
+    assert len(got) > 3 and all(r.tokens <= 450 for r in got)
+
+
+def test_page_maps(spark):
+    items = spark.createDataFrame([("s", 1, "heading", "Titre", 1), ("s", 2, "text", "# Un   texte qui est assez long pour compter ici", 2), ("s", 3, "heading", "Titre", 3), ("s", 4, "text", None, 3), ("s", 5, "text", "court", None)], "source string, pos int, label string, text string, page int")
+    assert chunking.heading_pages(items).first().heading_pages == {"Titre": 3}
+    assert [(x.text[:5], x.page) for x in chunking.text_pages(items).first().text_pages] == [("Titre", 1), ("# Un ", 2), ("Titre", 3)]
+    got = {(r.segment, r.page) for r in chunking.segment_pages(items).collect()}
+    assert got == {("un texte qui est assez long po", 2), ("un texte qui est assez long pour compter", 2)}
+    told = spark.createDataFrame([("t1", "résumé", "s", 2, 1), ("t2", None, "s", 2, 1)], "id string, summary_text string, source string, page int, tokens int")
+    parts = chunking.with_table_summaries(chunking.chunk_documents(spark.createDataFrame([("s", "texte")], "source string, markdown string")), told)
+    assert sorted(r.kind for r in parts.collect()) == ["child", "parent", "table_summary"]
 
 
 @pytest.mark.parametrize("word,expected", [("continuellement", "continuel"), ("majorité", "major"), ("chevaux", "cheval"), ("forfaits", "forfait"), ("1.2", "1.2"), ("", ""), ("réclamations", "réclam")])
