@@ -1,17 +1,23 @@
 """Held-out items inside training documents.
 
-A document leaks an item if some ``n`` (13) consecutive words of the item stand in it, in order.  Sketches of whole
-documents can't vouch for one such passage, so the MinHash is taken of passages: of each window of n words, the least
-hash of its five-word shingles, which neighbouring windows mostly share.  An equal passage has an equal MinHash, so
-containment search over passages misses nothing.  Passages come in one size only, which is the size partition of the
-items: items and documents of any length meet in windows of n words.
-
-1. The items' passage MinHashes go into a bit table of fixed size, which is broadcast; a document keeps the windows
-   whose MinHash is in it.
-2. Their n-word shingle hashes are tested likewise, then joined with those of the items, which verifies containment.
-
-Null and empty texts and items of fewer than n words have no windows and never match.  Hashes have 64 bits and depend
-on the words only, whatever the case, accents, punctuation, markup and line breaks.
+A document leaks an item if some ``n`` (13) consecutive words of the item stand in it, in order.
+
+A sketch of a whole item can't vouch for that: a passage of 13 words has nine shingles of five words, so the containment
+that must be found is 9 / (size - 4), which no sketch of bounded size tells from nothing for a long item.  So items are
+cut into passages of n words, which are one size partition, and every window of n words of a document is a query to it:
+
+1. The MinHash of a passage is the least hash of its five-word shingles.  Neighbouring windows mostly share it.  A document
+   keeps the windows whose MinHash is one of the items'; an equal passage has an equal MinHash, so nothing is missed.
+2. Of those, it keeps the windows whose own hash is that of a passage.
+3. The words themselves are compared: windows and passages meet in a join on hash and words.
+
+Steps 1 and 2 look into bit tables of ``BITS`` bits for each passage, so they filter equally well at any number of items.
+Passages are told apart by ranges of their hash; a range has at most ``PASSAGES_MOST`` passages, whose two tables are
+broadcast, and the documents are read once for each range.  Passages that stand in very many documents are spread over
+several keys of the join.
+
+Null and empty texts and items of fewer than n words have no passages and never match.  Words are compared whatever the
+case, accents, punctuation, markup and line breaks.  Rows of one item_id count as one item.
 """
 
 from __future__ import annotations
@@ -26,19 +32,24 @@ from pyspark.sql import functions as F
 from . import words as W
 
 N, SHINGLE = 13, 5
-#: Bits of each table, of which two answer for a hash; 2 MiB at any number of items.
-FILTER_BITS = 1 << 24
-
-
-def passages(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of n words: the row of its text, its MinHash and the hash of its words."""
+#: Bits of each table for a passage, and how many of them answer for a hash: one in eighty foreign hashes passes a table.
+BITS, PROBES = 10, 4
+#: Passages of one range of hashes: two tables of 40 MB at most.
+PASSAGES_MOST = 1 << 24
+#: Slices of a table that are built apart; their number is a power of two.
+SLICES = 64
+#: Rows of one passage beyond which it is spread over several keys.
+HOT = 100_000
+
+
+def passages(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of n words: the row of its text, its place in it, its MinHash and the hash of its words."""
     hashes, starts = W.word_hashes(texts)
     if len(hashes) < n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     whole = W.shingle_hashes(hashes, n)
     small = W.shingle_hashes(hashes, SHINGLE)
     count = len(whole)
-    least = small[:count].copy()
     # the least of k neighbours, doubling the reach: O(log k) passes
     reach, width = 1, n - SHINGLE + 1
     level = small
@@ -46,92 +57,124 @@ def passages(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarra
         level = np.minimum(level[: len(level) - reach], level[reach:])
         reach *= 2
     least = np.minimum(level[:count], level[width - reach : width - reach + count])
+    # a minimum is small: it is mixed again, so that its first bits tell nothing
+    least = W.mix(least)
     row = np.repeat(np.arange(len(texts)), np.diff(starts))
     inside = row[:count] == row[n - 1 :]
-    return row[:count][inside], least[inside], whole[inside]
+    row = row[:count][inside]
+    return row, np.flatnonzero(inside) - starts[row], least[inside], whole[inside]
 
 
-def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+class Table:
+    """A set of hashes as bits: ``PROBES`` of them for each hash, all within the slice that its first bits name."""
 
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        """``bits``: of a slice, a power of two."""
+        self.bits = bits
+        self.data = np.zeros(SLICES * bits // 8, dtype=np.uint8) if data is None else data
 
-def _add(table: np.ndarray, hashes: np.ndarray) -> None:
-    for slot in _slots(hashes, len(table) * 8):
-        np.bitwise_or.at(table, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+    @staticmethod
+    def slice_of(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - SLICES.bit_length() + 1)).astype(np.int64)
 
+    def places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        """The bits of a hash within its slice."""
+        second = W.mix(hashes) | np.uint64(1)
+        for k in range(PROBES):
+            yield ((hashes + np.uint64(k) * second) & np.uint64(self.bits - 1)).astype(np.int64)
 
-def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    a, b = _slots(hashes, len(table) * 8)
-    found = (table[a >> 3] >> (a & 7).astype(np.uint8)) & 1 == 1
-    at = np.flatnonzero(found)
-    b = b[at]
-    found[at] = (table[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-    return found
+    def one_slice(self, hashes: np.ndarray) -> bytes:
+        bits = np.zeros(self.bits, dtype=bool)
+        for place in self.places(hashes):
+            bits[place] = True
+        return np.packbits(bits, bitorder="little").tobytes()
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        base = self.slice_of(hashes) * self.bits
+        found = np.ones(len(hashes), dtype=bool)
+        for place in self.places(hashes):
+            at = base + place
+            found &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
 
-def filters(items: DataFrame, n: int = N, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables of the items' MinHashes and shingles, merged in a tree, so the driver sees tables of fixed size only."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(bits // 8, dtype=np.uint8) for _ in range(2)]
-        for batch in batches:
-            _, least, whole = passages(batch.column(0).to_pylist(), n)
-            _add(tables[0], np.unique(least))
-            _add(tables[1], whole)
-        yield from pack(tables)
-
-    def pack(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def table(held_out: DataFrame, column: str, count: int) -> Table:
+    """The bit table of a column of hashes.  Each slice is built by one task from the hashes of its range, so the driver
+    gets every byte of the table once."""
+    bits = 1 << max(6, (max(1, count) * BITS // SLICES).bit_length())
 
-        done = [zstandard.compress(t.tobytes(), 1) for t in tables]
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([done[0]], pa.binary()), pa.array([done[1]], pa.binary())], names=["k", "a", "b"])
+    def build(part: pa.Table) -> pa.Table:
+        hashes = part.column("h").to_numpy().view(np.uint64)
+        return pa.table({"slice": pa.array([int(Table.slice_of(hashes[:1])[0])], pa.int32()), "data": pa.array([Table(bits).one_slice(hashes)], pa.binary())})
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    shift = 64 - SLICES.bit_length() + 1
+    hashes = held_out.select(F.col(column).alias("h")).distinct().withColumn("slice", F.shiftrightunsigned("h", shift))
+    out = Table(bits)
+    for row in hashes.groupBy("slice").applyInArrow(build, "slice int, data binary").toLocalIterator():
+        out.data[row.slice * bits // 8 : (row.slice + 1) * bits // 8] = np.frombuffer(bytes(row.data), dtype=np.uint8)
+    return out
 
-        tables = [np.zeros(bits // 8, dtype=np.uint8) for _ in range(2)]
-        for batch in batches:
-            for k in range(2):
-                for packed in batch.column(k + 1).to_pylist():
-                    tables[k] |= np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
-        yield from pack(tables)
 
-    schema = "k long, a binary, b binary"
-    built = items.select("text").mapInArrow(build, schema).coalesce(16).mapInArrow(merge, schema).toLocalIterator()
-    out = [np.zeros(bits // 8, dtype=np.uint8) for _ in range(2)]
-    for row in built:
-        import zstandard
+def item_passages(items: DataFrame, n: int = N) -> DataFrame:
+    """item_id, minhash, passage and words of each window of n words, once for each item."""
 
-        for k, packed in enumerate((row.a, row.b)):
-            out[k] |= np.frombuffer(zstandard.decompress(bytes(packed)), dtype=np.uint8)
-    return out[0], out[1]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            row, at, least, whole = passages(texts, n)
+            said = [W.words(t) for t in texts]
+            words = [" ".join(said[r][k : k + n]) for r, k in zip(row.tolist(), at.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(words, pa.string())], names=["item_id", "minhash", "passage", "words"])
 
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.select("item_id", "text").mapInArrow(cut, f"item_id {kind}, minhash long, passage long, words string").distinct()
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = N, bits: int = FILTER_BITS) -> DataFrame:
-    """Distinct (doc_id, item_id).  ``documents``: doc_id, text; ``items``: item_id, text."""
-    spark = documents.sparkSession
-    tables = spark.sparkContext.broadcast(filters(items, n, bits))
 
-    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, _, whole = passages(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(whole.view(np.int64))], names=["item_id", "passage"])
+def windows(documents: DataFrame, minhashes: Table, whole: Table, n: int = N) -> DataFrame:
+    """doc_id, passage and words of the documents' windows that both tables know."""
+    shared = documents.sparkSession.sparkContext.broadcast((minhashes, whole))
 
-    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhashes, shingles = tables.value
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhashes, whole = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                row, least, whole = passages(part.column(1).to_pylist(), n)
+                texts = part.column(1).to_pylist()
+                row, at, least, own = passages(texts, n)
                 # neighbouring windows share their MinHash: each run is looked up once
                 fresh = np.concatenate([[True], least[1:] != least[:-1]]) if len(least) else np.zeros(0, dtype=bool)
-                keep = _has(minhashes, least[fresh])[np.cumsum(fresh) - 1] if len(least) else fresh
-                row, whole = row[keep], whole[keep]
-                keep = _has(shingles, whole)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[keep])), pa.array(whole[keep].view(np.int64))], names=["doc_id", "passage"])
-
-    kinds = {name: df.schema[name].dataType.simpleString() for df, name in ((documents, "doc_id"), (items, "item_id"))}
-    held_out = items.select("item_id", "text").mapInArrow(of_items, f"item_id {kinds['item_id']}, passage long").distinct()
-    found = documents.select("doc_id", "text").mapInArrow(of_documents, f"doc_id {kinds['doc_id']}, passage long").distinct()
-    return found.join(held_out, "passage").select("doc_id", "item_id").distinct()
+                keep = np.flatnonzero(minhashes.has(least[fresh])[np.cumsum(fresh) - 1]) if len(least) else np.zeros(0, dtype=np.int64)
+                keep = keep[whole.has(own[keep])]
+                row, at = row[keep], at[keep]
+                said = {r: W.words(texts[r]) for r in np.unique(row).tolist()}
+                words = [" ".join(said[r][a : a + n]) for r, a in zip(row.tolist(), at.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own[keep].view(np.int64)), pa.array(words, pa.string())], names=["doc_id", "passage", "words"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, passage long, words string")
+
+
+def leaks(documents: DataFrame, items: DataFrame, n: int = N, checkpoint=lambda df: df, most: int = PASSAGES_MOST, hot: int = HOT) -> DataFrame:
+    """Distinct (doc_id, item_id).  ``documents``: doc_id, text; ``items``: item_id, text.
+
+    ``checkpoint`` cuts the lineage of the items' passages and of the windows found, which are read several times."""
+    held_out = checkpoint(item_passages(items, n))
+    ranges = max(1, -(-held_out.count() // most))
+    found = None
+    for r in range(ranges):
+        # both hashes of a passage are in the range of its MinHash
+        own = held_out.where(F.pmod(F.xxhash64("minhash"), F.lit(ranges)) == r) if ranges > 1 else held_out
+        size = own.count()
+        part = windows(documents, table(own, "minhash", size), table(own, "passage", size), n)
+        found = part if found is None else found.unionByName(part)
+    found = checkpoint(found.distinct())
+    total = found.count()
+    left = found.withColumn("salt", F.lit(0))
+    right = held_out.select("item_id", "passage", "words").withColumn("salt", F.lit(0))
+    if total > hot:
+        # at most total / hot passages are so frequent
+        frequent = found.groupBy("passage").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("passage", F.ceil(F.col("c") / hot).cast("int").alias("parts"))
+        parts = F.coalesce("parts", F.lit(1))
+        left = found.join(frequent, "passage", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("parts")
+        right = right.drop("salt").join(frequent, "passage", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["passage", "words", "salt"]).select("doc_id", "item_id").distinct()

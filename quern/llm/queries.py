@@ -67,7 +67,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, item_id of the documents that contain a passage of a held-out item."""
     ship(spark)
-    return leaks.leaks(table(spark, folder, "documents").select("doc_id", "text"), p5_items(spark, folder))
+    return leaks.leaks(table(spark, folder, "documents").select("doc_id", "text"), p5_items(spark, folder), checkpoint=checkpoint)
 
 
 def p5_items_leaked(spark: SparkSession, folder: str) -> DataFrame:

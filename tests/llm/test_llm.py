@@ -255,10 +255,21 @@ def test_leaks_equal_brute_force(spark):
     i = spark.createDataFrame(items, "item_id string, text string")
     got = {tuple(r) for r in leaks.leaks(d, i).collect()}
     assert got == want and len(want) > 20
-    assert {tuple(r) for r in leaks.leaks(d, i, bits=1 << 10).collect()} == want
+    # several ranges of hashes, and passages spread over several keys
+    assert {tuple(r) for r in leaks.leaks(d, i, most=200, hot=3).collect()} == want
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("count", [1000, 200_000])
+def test_bit_tables_filter_alike_at_any_size(spark, count):
+    rng = np.random.default_rng(5)
+    inside = rng.integers(-(2**63), 2**63, count)
+    table = leaks.table(spark.createDataFrame([(int(x),) for x in inside[:5000]], "h long") if count < 5000 else spark.range(count).select(F.xxhash64("id").alias("h")), "h", count)
+    known = inside.view(np.uint64) if count < 5000 else np.array([r.h for r in spark.range(2000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
+    assert table.has(known).all()
+    assert table.has(rng.integers(0, 2**63, 100_000).view(np.uint64) * np.uint64(2) + np.uint64(1)).mean() < 0.02
+
+
 # -- 6: tokens
 
 ODD = ["a  b", "a   b \n c", "  lead", "trail  ", "<|endoftext|> a", "a　 b", "\t x y", "don't 's  's", "", None, "   ", "👩‍👩‍👧 a", "a \u0085b \x1c c", "_ _ __  _", "é é", "x" * 5000, " " * 300 + "y"]
