@@ -370,6 +370,31 @@ def test_all_words_of_a_page_vote_on_its_language():
     assert spam.segments(unicodedata.normalize("NFD", accents)) == spam.segments(accents)
 
 
+#: Sentences in languages without a word list; each is used many times over, so their words are repeated.
+FOREIGN = {
+    "pl": ["Zawodnik przesuwa figurę na szachownicy i nie może cofnąć ruchu do końca partii.", "Jeśli arbiter zapisuje wynik, to kapitan musi go potwierdzić w ciągu minuty.", "W każdej rundzie drużyna gra z innym przeciwnikiem na trzech deskach."],
+    "ru": ["Игрок передвигает фигуру на доске и не может вернуть ход до конца партии.", "Если судья записывает результат, то капитан должен подтвердить его в течение минуты.", "В каждом туре команда играет с новым соперником на трёх досках."],
+    "zh": ["棋手在棋盘上移动棋子，不能再更改这一步棋。", "如果裁判记录比赛结果，队长必须在一分钟内确认。", "每一轮比赛中，队伍都要和不同的对手在三张棋盘上对弈。"],
+    "sv": ["Spelaren flyttar pjäsen på brädet och får inte ta tillbaka draget före partiets slut.", "Om domaren antecknar resultatet måste lagledaren bekräfta det inom en minut."],
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+@pytest.mark.parametrize("learned", [False, True])
+def test_prose_of_languages_without_a_list_is_no_spam(spark, lang, learned):
+    prose = " ".join(FOREIGN[lang] * 14)
+    tags = "\n".join(["szachy tanio", "zegar promocja", "plansza sklep", "szachy promocja", "zegar tanio", "plansza promocja"] * 8)
+    rows = [(n, PROSE * (400 if learned else 2)) for n in range(2)] + [(8, prose), (9, tags)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {9}
+
+
+def test_links_need_no_known_host():
+    for ending in ("it", "co.uk", "museum", "pl"):
+        kinds = {k for k, *_ in spam.segments("\n".join(f"Scacchi club-{n}.{ending}" for n in range(40)))[1]}
+        assert kinds == {spam.LINKS}
+    assert spam.LINKS not in {k for k, *_ in spam.segments("Le joueur a fini sa partie.Le capitaine signe la feuille.\n12.Cf3 Cc6 13.Fb5 a6\nVoir l'article 3.2.1 du chapitre.")[1]}
+
+
 def test_no_pages_no_spam(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spam.spam_pages(df, "doc_id", "text").count() == 0
