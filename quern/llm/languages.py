@@ -110,8 +110,13 @@ class Letters:
         known = self.all if lang is None else self.known.get(lang)
         if not known:
             return None
-        found = [x in known for w in ws if w.isalpha() for x in trigrams(w)]
-        return 1 - sum(found) / len(found) if found else 0.0
+        total = missing = 0
+        for w, n in Counter(ws).items():
+            if w.isalpha():
+                each = trigrams(w)
+                total += n * len(each)
+                missing += n * sum(x not in known for x in each)
+        return missing / total if total else 0.0
 
 
 #: The letters with marks, and other letters beyond a to z, of each language.
