@@ -141,6 +141,18 @@ def test_pieces_end_at_sentences_and_cut_hard_without_any(spark):
         ("Qui peut signer la feuille de match ?", "The deputy arbiter may sign the match sheet at the end of the round.", "other_language"),
         ("Qui peut signer la feuille de match ?", "El árbitro debe firmar el acta al final de la ronda.", "other_language"),
         ("Qui peut signer la feuille de match ?", "Le capitaine signe la feuille. Le terme anglais « touch move » désigne cette règle.", None),
+        ("Qui peut signer la feuille de match ?", "Je suis désolé, mais cette question dépasse le cadre de mes connaissances.", "refusal"),
+        ("Qui peut signer la feuille de match ?", "Sorry, that is something I must pass on.", "refusal"),
+        ("Qui peut signer la feuille de match ?", "Merci pour votre question sur le roque. Je ne peux pas répondre.", "refusal"),
+        ("Wer darf unterschreiben?", "Das kann ich leider nicht beantworten, ich kann dazu nichts sagen.", "refusal"),
+        ("¿Quién firma el acta?", "Lo siento, no dispongo de esa información.", "refusal"),
+        ("Qui peut signer la feuille de match ?", "Le joueur ne peut pas roquer. Le capitaine signe la feuille et l'arbitre la transmet à la ligue avant la fin de la ronde suivante.", None),
+        ("Qui peut signer la feuille de match ?", "Капитан команды подписывает протокол матча после последней партии.", "other_language"),
+        ("Qui peut signer la feuille de match ?", "比赛结束后，队长必须在记录表上签字。", "other_language"),
+        ("Qui peut signer la feuille de match ?", "Kapitan drużyny podpisuje protokół meczu zaraz po zakończeniu ostatniej partii.", "other_language"),
+        ("Who may sign the match sheet?", "Lagledaren får skriva på matchprotokollet när sista partiet är över.", "other_language"),
+        ("Кто подписывает протокол?", "The captain signs the match sheet.", "other_language"),
+        ("Qui peut signer la feuille de match ?", "Le terme russe « шахматы » désigne les échecs : шах.", None),
         (None, "Le capitaine.", None),
         ("", "The deputy arbiter may sign the match sheet.", None),
     ],
