@@ -13,16 +13,22 @@ from .tables import p1_values, p4_vectors, p5_items, table
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """tbl, id, field of the cut values."""
     ship(spark)
-    values, corpus = p1_values(spark, folder)
-    return truncation.cut_values(values, corpus, checkpoint).select("key.tbl", "key.id", "key.field")
+    return truncation.cut_values(p1_values(spark, folder), checkpoint=checkpoint).select("key.tbl", "key.id", "key.field")
+
+
+def p1_signs(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values each set of signs tells."""
+    ship(spark)
+    cut = truncation.cut_values(p1_values(spark, folder), checkpoint=checkpoint)
+    return cut.groupBy("key.tbl", "key.field", F.array_join("signs", "+").alias("signs")).agg(F.count("*").alias("cut_values"))
 
 
 def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     """For each source and field the number of ids with a value, how many are cut, and their share."""
     ship(spark)
-    values, corpus = p1_values(spark, folder)
-    cut = truncation.cut_values(values, corpus, checkpoint).select("key", F.lit(1).alias("cut"))
-    of = values.select("key", "source").join(cut, "key", "left")
+    values = p1_values(spark, folder)
+    cut = truncation.cut_values(values, checkpoint=checkpoint).select("key", F.lit(1).alias("cut"))
+    of = values.where("key is not null").select("key", "source").join(cut, "key", "left")
     return of.groupBy("key.tbl", "key.field", "source").agg(F.count("*").alias("ids"), F.count("cut").alias("cut_ids"), F.round(F.count("cut") / F.count("*"), 6).alias("cut_share"))
 
 
@@ -52,9 +58,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """id, defect of the defective pairs."""
     ship(spark)
     human = table(spark, folder, "human_eval_34q").select("id", F.col("question"), F.col("response_preview").alias("response")).dropDuplicates(["id"])
-    values, corpus = p1_values(spark, folder)
-    values = values.where("kind = 'response_preview'").withColumn("key", F.col("key.id"))
-    return pairs.defects(human, values, corpus, checkpoint)
+    values = p1_values(spark, folder).withColumn("key", F.when(F.col("kind") == "response_preview", F.col("key.id")))
+    return pairs.defects(human, values, checkpoint=checkpoint, kinds=["response_preview"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +113,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", checkpoint).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
 
 #: The words of a text in SQL, and its runs of 13 of them.
 _WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(regexp_replace(text, '([\p{L}\p{N}\p{M}])[-\x{2010}\x{AD}][\t\v\f\p{Zs}]*(?:\r\n|\n|\r|\x{2028})[\t\v\f\p{Zs}]*([\p{L}\p{N}])', '\1\2', 'g'))), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

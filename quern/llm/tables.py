@@ -10,8 +10,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def p1_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The values that may be cut, one for each id and field, and the corpus around them.
+def p1_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that may be cut, one for each id and field, and with a null key the texts around them.
 
     Kinds: ``text`` for questions, ``choices.A`` for all choices, ``response_preview`` for answers and explanations."""
     uvo = table(spark, folder, "jun2023_uvo").select("id", "source", "text", "choices", "explanation").withColumn("a", F.col("choices")["A"]).withColumn("rest", F.map_values(F.map_filter("choices", lambda k, _: k != "A")))
@@ -20,9 +20,12 @@ def p1_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     fields = F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("t")), F.struct(F.lit("choices.A").alias("kind"), F.col("a").alias("t"))))
     first = uvo.select("id", "source", fields.alias("f")).select(F.struct(F.lit("jun2023_uvo").alias("tbl"), "id", F.col("f.kind").alias("field")).alias("key"), F.col("f.kind").alias("kind"), "source", F.col("f.t").alias("text"))
     second = human.select(F.struct(F.lit("human_eval_34q").alias("tbl"), "id", F.lit("response_preview").alias("field")).alias("key"), F.lit("response_preview").alias("kind"), "source", F.col("response_preview").alias("text"))
-    values = first.unionByName(second).where("text is not null")
-    corpus = values.select("kind", "text").unionByName(uvo.select(F.lit("choices.A").alias("kind"), F.explode("rest").alias("text"))).unionByName(uvo.select(F.lit("response_preview").alias("kind"), F.col("explanation").alias("text"))).unionByName(human.select(F.lit("text").alias("kind"), F.col("question").alias("text")))
-    return values, corpus.where("text is not null")
+    around = uvo.select(F.lit("choices.A").alias("kind"), F.explode("rest").alias("text"))
+    around = around.unionByName(uvo.select(F.lit("response_preview").alias("kind"), F.col("explanation").alias("text")))
+    around = around.unionByName(human.select(F.lit("text").alias("kind"), F.col("question").alias("text")))
+    values = first.unionByName(second)
+    nothing = F.lit(None).cast(values.schema["key"].dataType)
+    return values.unionByName(around.select(nothing.alias("key"), "kind", F.lit(None).cast("string").alias("source"), "text")).where("text is not null")
 
 
 def p5_items(spark: SparkSession, folder: str) -> DataFrame:
