@@ -32,6 +32,10 @@ for _lang, _known in _LANGUAGES.items():
         _OF_WORD[_w] = (*_OF_WORD.get(_w, ()), _lang)
 
 
+#: Words of one language that another hasn't.
+_ONLY = {(a, b): _LANGUAGES[a] - _LANGUAGES[b] for a in _LANGUAGES for b in _LANGUAGES}
+
+
 def votes(ws: list[str]) -> Counter:
     """For each language how many of the words, folded or in lower case, are among its function words."""
     return Counter([lang for w in ws if w in _OF_WORD for lang in _OF_WORD[w]])
@@ -144,7 +148,7 @@ def main_script(text: str) -> tuple[str | None, float]:
 
 def against(ws: list[str], own: str):
     """For each language but ``own``: how many words only that one has, and how many only ``own`` has."""
-    mine = _LANGUAGES[own]
-    for lang, known in _LANGUAGES.items():
+    listed = [w for w in ws if w in _OF_WORD]
+    for lang in _LANGUAGES:
         if lang != own:
-            yield lang, sum(w in known and w not in mine for w in ws), sum(w in mine and w not in known for w in ws)
+            yield lang, sum(map(_ONLY[lang, own].__contains__, listed)), sum(map(_ONLY[own, lang].__contains__, listed))

@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 _MARKS = regex.compile(r"\p{M}+")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")  # letters and numbers of all kinds
 _HYPHEN = regex.compile(r"(?<=[\p{L}\p{N}\p{M}])[-\u2010\u00ad][^\S\r\n\u2028]*(?:\r\n|[\n\r\u2028])[^\S\r\n\u2028]*(?=[\p{L}\p{N}])")
 
 OTHER, WORD, SPACE, MARK = 0, 1, 2, 3
