@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -38,7 +39,7 @@ _ONLY = {(a, b): _LANGUAGES[a] - _LANGUAGES[b] for a in _LANGUAGES for b in _LAN
 
 def votes(ws: list[str]) -> Counter:
     """For each language how many of the words, folded or in lower case, are among its function words."""
-    return Counter([lang for w in ws if w in _OF_WORD for lang in _OF_WORD[w]])
+    return Counter([lang for w in filter(_OF_WORD.__contains__, ws) for lang in _OF_WORD[w]])
 
 
 def language(ws: list[str], least: int = 2, ties: bool = False) -> str | None:
@@ -140,8 +141,13 @@ def script(c: str) -> str:
     return "CJK" if name in ("CJK", "HIRAGANA", "KATAKANA", "KANGXI") else name
 
 
+_BEYOND_LATIN = re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]")
+
+
 def main_script(text: str) -> tuple[str | None, float]:
     """The script of most letters, and the share of the letters that is in it."""
+    if not _BEYOND_LATIN.search(text):
+        return ("LATIN", 1.0) if any(map(str.isalpha, text)) else (None, 0.0)
     got = Counter(map(script, filter(str.isalpha, text))).most_common(1)
     return (got[0][0], got[0][1] / sum(map(str.isalpha, text))) if got else (None, 0.0)
 

@@ -15,6 +15,12 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+def _ranges(cps: list[int]) -> str:
+    """The inside of a character class."""
+    runs = np.split(np.array(cps), np.flatnonzero(np.diff(cps) != 1) + 1)
+    return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs)
+
+
 _MARKS = regex.compile(r"\p{M}+")
 _WORD = re.compile(r"[^\W_]+")  # letters and numbers of all kinds
 _HYPHEN = regex.compile(r"(?<=[\p{L}\p{N}\p{M}])[-\u2010\u00ad][^\S\r\n\u2028]*(?:\r\n|[\n\r\u2028])[^\S\r\n\u2028]*(?=[\p{L}\p{N}])")
@@ -90,9 +96,7 @@ def _powers(n: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _uneven() -> re.Pattern:
     """Finds a character that folds to more than one base character."""
-    cps = np.flatnonzero(tables()[0] == -1)
-    runs = np.split(cps, np.flatnonzero(np.diff(cps) != 1) + 1)
-    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]")
+    return re.compile("[" + _ranges(np.flatnonzero(tables()[0] == -1).tolist()) + "]")
 
 
 def word_hashes(texts: list[str | None], chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
