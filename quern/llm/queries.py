@@ -69,6 +69,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """id, other, rank: the 10 most similar other ids of every id whose number is divisible by 100, against all rows."""
+    ship(spark)
+    asks = F.regexp_extract("id", r"([0-9]{1,18})$", 1).try_cast("long") % 100 == 0
+    return vectors.neighbours(p4_vectors(spark, folder), 10, queries=asks).select("id", "other", "rank")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, item_id of the documents that contain a passage of a held-out item."""
     ship(spark)
@@ -113,7 +120,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", checkpoint).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p4_neighbours, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
 
 #: The words of a text in SQL, and its runs of 13 of them.
 _WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(regexp_replace(text, '([\p{L}\p{N}\p{M}])[-\x{2010}\x{AD}][\t\v\f\p{Zs}]*(?:\r\n|\n|\r|\x{2028})[\t\v\f\p{Zs}]*([\p{L}\p{N}])', '\1\2', 'g'))), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -125,5 +132,6 @@ _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\p{Z}\t-\r\x1c-\x20\x{85}]"
 ORACLES = {
     "p2_found": f"select distinct tbl, id from (select 'children' as tbl, id, text, {CHILD_LIMIT} as most from children union all select 'parents', id, text, {PARENT_LIMIT} from parents) where len(regexp_extract_all(text, '{_TOKEN}')) > most",
     "p4_found": "with v as (select id, any_value(embedding)::double[] as e from (select id, embedding from children union all select id, embedding from table_summaries) where len(embedding) = 64 group by id), n as (select id, e, sqrt(list_dot_product(e, e)) as n from v where list_dot_product(e, e) > 0), p as (select a.id as a, b.id as b, list_dot_product(a.e, b.e) / (a.n * b.n) as c from n a, n b where a.id <> b.id), r as (select a, b, row_number() over (partition by a order by c desc, b) as r from p where c >= 0.92) select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 10",
+    "p4_neighbours": "with v as (select id, any_value(embedding)::double[] as e from (select id, embedding from children union all select id, embedding from table_summaries) where len(embedding) = 64 group by id), n as (select id, e, sqrt(list_dot_product(e, e)) as n from v where list_dot_product(e, e) > 0), p as (select a.id, b.id as other, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) as c from n a, n b where a.id <> b.id and try_cast(regexp_extract(a.id, '([0-9]{1,18})$', 1) as bigint) % 100 = 0), r as (select id, other, row_number() over (partition by id order by c desc, other) as rank from p) select id, other, rank from r where rank <= 10",
     "p5_found": f"with i as (select item_id, {_WORDS} as w from (select id as item_id, question as text from audit_sample_review union select id, text from jun2023_uvo) where text is not null), d as (select doc_id, {_WORDS} as w from documents where text is not null), x as (select distinct item_id, {_RUNS} as run from i), y as (select distinct doc_id, {_RUNS} as run from d) select distinct doc_id, item_id from x join y using (run)",
 }

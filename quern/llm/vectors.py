@@ -1,14 +1,17 @@
 """Most similar vectors for every vector: adaptive scan of rotated dimensions within inverted lists.
 
-Lists are the cells of a k-means on a bounded sample; every vector is indexed.  Their number grows with the vectors, so
-that lists keep their size and work grows in proportion.  A vector is also sent as a query to those other lists that a
-neighbour within ``reach`` may lie in: those whose centroid is hardly farther than the nearest one.  In a list, vectors
-are rotated by a random orthogonal matrix and compared by blocks of dimensions; a hypothesis test on the partial
-distance abandons most candidates after the first block.  What is left is compared exactly, in double precision.
+Lists are the cells of a k-means in two levels: a few hundred upper centroids are trained on a bounded sample, then each
+upper cell trains its own lists where its sample lies, on the executors.  Every vector is indexed.  The number of lists
+grows with the vectors, so that lists keep their size and work grows in proportion.  A vector is also sent as a query to
+other lists: with a threshold, to those that a neighbour within its distance may lie in, whose centroid is hardly farther
+than the nearest one; without, to the ``probes`` nearest lists.  In a list, vectors are rotated by a random orthogonal
+matrix and compared by blocks of dimensions; a hypothesis test on the partial distance abandons most candidates after the
+first block.  What is left is compared exactly, in double precision.
 
 Vectors that are null, all zero, of another length or hold a null or a number that isn't finite take no part.  Rows with
-the same id and vector count once.  Ties in the cosine go to the smaller id, by its bytes.  Many copies of one vector
-are compared through the first ``k + 1`` of them, which are the neighbours of all others.
+the same id and vector count once.  Cosines are rounded to ``DIGITS`` places; ties go to the smaller id, by its bytes.  Of
+more than ``k + 1`` copies of one vector the first ``k + 1`` are compared; the others' neighbours are those of the first
+of them, and itself.
 """
 
 from __future__ import annotations
@@ -18,20 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a list, of the sample for each list, and of the whole sample at most (64 MB at 64 dimensions).
-LIST_SIZE, SAMPLE_PER_LIST, SAMPLE_MOST = 4096, 64, 262_144
-LISTS_MOST = 16_384
+#: Vectors of a list, and of the sample for each list.
+LIST_SIZE, SAMPLE_PER_LIST = 4096, 64
+#: Vectors of which the upper centroids are trained (on the driver, 8 MB), and those of one upper cell's lists, at most.
+ROOT_SAMPLE, CELL_SAMPLE = 32_768, 1 << 17
+#: Lists at most (64 MB of centroids on every executor): beyond 10^9 vectors lists grow.
+LISTS_MOST = 1 << 18
+#: Lists that a vector without a threshold looks into.
+PROBES = 12
 #: Candidates of one task; longer lists are cut into blocks.
 BLOCK_SIZE = 16_384
 #: Reach of the probes and significance of the test, in standard deviations.
 PROBE_SIGMAS, TEST_SIGMAS = 2.5, 2.1
-#: Share of a tile's pairs that pass the first test beyond which the tile is compared as a whole.
+#: Share of a tile's pairs that pass the first test beyond which the rest of the tile's dimensions are one product.
 DENSE = 0.05
-#: Copies of one vector beyond which copies are taken out before the scan.
-COPIES = 64
+#: Places of a cosine.
+DIGITS = 9
 SEED = 7
 
 
@@ -74,52 +82,115 @@ def train(sample: np.ndarray, lists: int, rounds: int = 6, seed: int = SEED) ->
     return centroids, np.bincount(own, minlength=lists) / max(len(sample), 1)
 
 
-def reaches(sample: np.ndarray, centroids: np.ndarray, k: int, most: float) -> np.ndarray:
-    """For each list how far its vectors have to look: ``most``, or less where even the few sampled vectors of the list
-    have 2 k others nearer than that, as in a dense region.  The true neighbours are nearer still."""
-    own = nearest(sample, centroids)
-    out = np.full(len(centroids), most)
+def own_reach(x: np.ndarray, own: np.ndarray, lists: int, k: int, most: float) -> np.ndarray:
+    """For each list how far its vectors have to look: ``most``, or less where all of the sampled vectors of the list have
+    2 k others nearer than that, as in a dense region.  The true neighbours are nearer still."""
+    out = np.full(lists, most)
     order = np.argsort(own, kind="stable")
-    bounds = np.searchsorted(own[order], np.arange(len(centroids) + 1))
+    bounds = np.searchsorted(own[order], np.arange(lists + 1))
     for cell in np.flatnonzero(np.diff(bounds) > 4 * k):
-        x = sample[order[bounds[cell] : bounds[cell + 1]]][:1024]
-        d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
-        out[cell] = min(most, float(np.quantile(np.partition(d, 2 * k, axis=1)[:, 2 * k], 0.99)))
+        members = x[order[bounds[cell] : bounds[cell + 1]]]
+        far = 0.0
+        for at in range(0, len(members), 2048):
+            d = np.sqrt(np.maximum(2 - 2 * members[at : at + 2048] @ members.T, 0))
+            far = max(far, float(np.partition(d, 2 * k, axis=1)[:, 2 * k].max()))
+        out[cell] = min(most, far)
     return out
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 4096) -> np.ndarray:
-    return np.concatenate([(x[k : k + step] @ centroids.T).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, dtype=np.int64)
-
-
 class Lists:
     """Which lists and blocks a vector belongs to and probes."""
 
-    def __init__(self, centroids: np.ndarray, parts: np.ndarray, reach: np.ndarray, sigmas: float):
-        """``reach``: for each list the distance within which its vectors look for neighbours."""
-        self.centroids, self.parts = centroids, parts
-        self.first = np.concatenate([[0], np.cumsum(parts)])
-        # spread of a neighbour's difference along the line between two centroids
-        gaps = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)) if len(centroids) <= 4096 else None
-        self.gaps, self.margin = gaps, sigmas * reach / math.sqrt(centroids.shape[1])
-
-    def assign(self, x: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, block and whether the row is a candidate there."""
-        near = x @ self.centroids.T
-        own = near.argmax(1)
-        best = near[np.arange(len(x)), own]
-        gap = self.gaps[own] if self.gaps is not None else np.sqrt(np.maximum(2 - 2 * self.centroids[own] @ self.centroids.T, 0))
-        probe = best[:, None] - near <= self.margin[own][:, None] * gap
-        probe[np.arange(len(x)), own] = True
-        row, cell = np.nonzero(probe)
+    def __init__(self, roots: np.ndarray, of_root: np.ndarray, centroids: np.ndarray, parts: np.ndarray, reach: np.ndarray, sigmas: float, probes: int | None):
+        """``of_root``: the root of each list, ascending; ``parts``: its blocks; ``reach``: the distance within which its
+        vectors look for neighbours; ``probes``: how many lists they look into instead."""
+        self.roots, self.centroids, self.parts, self.probes = roots, centroids, parts, probes
+        self.begin = np.searchsorted(of_root, np.arange(len(roots) + 1))
+        self.block = np.concatenate([[0], np.cumsum(parts)])
+        self.margin = sigmas * reach / math.sqrt(roots.shape[1])
+        self.root_gaps = np.sqrt(np.maximum(2 - 2 * roots @ roots.T, 0))
+
+    def _within(self, x: np.ndarray, root: int) -> np.ndarray:
+        return x @ self.centroids[self.begin[root] : self.begin[root + 1]].T
+
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Products with the roots, the nearest root, and the nearest list in it."""
+        near = x @ self.roots.T
+        # roots without lists hold no vector
+        near[:, np.diff(self.begin) == 0] = -np.inf
+        root = near.argmax(1)
+        cell = np.zeros(len(x), dtype=np.int64)
+        for r in np.unique(root):
+            rows = np.flatnonzero(root == r)
+            cell[rows] = self.begin[r] + self._within(x[rows], r).argmax(1)
+        return near, root, cell
+
+    def probed(self, x: np.ndarray, near: np.ndarray, root: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of all lists that the rows look into; their own ones among them."""
+        margin = self.margin[cell]
+        if self.probes is None:
+            look = near[np.arange(len(x)), root][:, None] - near <= margin[:, None] * self.root_gaps[root]
+        else:
+            most = min(self.probes, near.shape[1])
+            look = near >= -np.partition(-near, most - 1, axis=1)[:, most - 1 : most]
+        look &= np.isfinite(near)
+        look[np.arange(len(x)), root] = True
+        rows, cells, nearness = [], [], []
+        for r in np.flatnonzero(look.any(0)):
+            at = np.flatnonzero(look[:, r])
+            d = self._within(x[at], r)
+            if self.probes is None:
+                best = d.argmax(1)
+                centres = self.centroids[self.begin[r] : self.begin[r + 1]]
+                gap = np.sqrt(np.maximum(2 - 2 * centres[best] @ centres.T, 0))
+                probe = d[np.arange(len(at)), best][:, None] - d <= margin[at][:, None] * gap
+            else:
+                most = min(self.probes, d.shape[1])
+                probe = d >= -np.partition(-d, most - 1, axis=1)[:, most - 1 : most]
+            i, j = np.nonzero(probe)
+            rows.append(at[i])
+            cells.append(self.begin[r] + j)
+            nearness.append(d[i, j])
+        row, found, d = (np.concatenate(z) for z in (rows, cells, nearness))
+        if self.probes is not None:
+            order = np.lexsort((-d, row))
+            row, found = row[order], found[order]
+            first = np.searchsorted(row, np.arange(len(x)))
+            keep = np.arange(len(row)) - first[row] < self.probes
+            row, found = row[keep], found[keep]
+        # the own list is the nearest of its root, but need not be among the nearest of all
+        missing = np.setdiff1d(np.arange(len(x)), row[found == cell[row]])
+        return np.concatenate([row, missing]), np.concatenate([found, cell[missing]])
+
+    def assign(self, x: np.ndarray, hashes: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, block, whether the row is a candidate there, and whether it is a query there."""
+        near, root, own = self.own(x)
+        q = np.flatnonzero(asks)
+        row, cell = self.probed(x[q], near[q], root[q], own[q]) if len(q) else (q, q)
+        row = q[row]
         count = self.parts[cell]
         row, cell = np.repeat(row, count), np.repeat(cell, count)
         part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        return row, self.first[cell] + part, (own[row] == cell) & (hashes[row] % self.parts[cell] == part)
+        home = hashes % self.parts[own]
+        candidate = (own[row] == cell) & (home[row] == part)
+        rest = np.flatnonzero(~asks)
+        return (
+            np.concatenate([row, rest]),
+            np.concatenate([self.block[cell] + part, self.block[own[rest]] + home[rest]]),
+            np.concatenate([candidate, np.ones(len(rest), dtype=bool)]),
+            np.concatenate([np.ones(len(row), dtype=bool), np.zeros(len(rest), dtype=bool)]),
+        )
 
 
-def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: float | None, rotate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query, candidate, cosine) within one block that are among the k nearest of either, at ``least`` or more."""
+def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 4096) -> np.ndarray:
+    return np.concatenate([(x[k : k + step] @ centroids.T).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: float | None, rotate: np.ndarray, query: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, candidate, cosine) within one block that are among the k nearest of either, at ``least`` or more.
+
+    ``query``: the rows that ask, by default all; then pairs are only among the k nearest of the query."""
+    asking = np.arange(len(x)) if query is None else np.flatnonzero(query)
     wide = x.astype(np.float64)
     wide /= np.sqrt((wide**2).sum(1))[:, None]
     turned = (wide @ rotate).astype(np.float32)
@@ -133,9 +204,9 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
     # a first bound: the distance to the 2 k-th of some of the candidates (two rows may have one id, or be the query's)
     some = c[:: max(1, len(at) // (16 * k))]
     if len(some) > 2 * k:
-        for q in range(0, len(x), 4096):
-            d = 2 - 2 * turned[q : q + 4096] @ some.T
-            bound[q : q + 4096] = np.minimum(bound[q : q + 4096], np.partition(d, 2 * k, axis=1)[:, 2 * k] + 1e-5)
+        for q in range(0, len(asking), 4096):
+            rows = asking[q : q + 4096]
+            bound[rows] = np.minimum(bound[rows], np.partition(2 - 2 * turned[rows] @ some.T, 2 * k, axis=1)[:, 2 * k] + 1e-5)
     rank_of = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
 
     def best(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
@@ -158,23 +229,24 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
         return [(i, j, exact)], len(i)
 
     out = []
-    for q in range(0, len(x), 2048):
-        query = turned[q : q + 2048]
-        q_head = (query[:, :head] ** 2).sum(1)
+    for q in range(0, len(asking), 2048):
+        rows = asking[q : q + 2048]
+        turned_rows = turned[rows]
+        q_head = (turned_rows[:, :head] ** 2).sum(1)
         held, size = [], 0
         for t in range(0, len(at), 2048):
-            partial = query[:, :head] @ c[t : t + 2048, :head].T
+            partial = turned_rows[:, :head] @ c[t : t + 2048, :head].T
             # |q - c|² over the first block, against the bound of the query
-            limit = (q_head - bound[q : q + 2048] * cut[0])[:, None] * 0.5
+            limit = (q_head - bound[rows] * cut[0])[:, None] * 0.5
             near = partial >= limit + 0.5 * c_head[None, t : t + 2048]
             dense = np.count_nonzero(near) > DENSE * near.size
             if dense:
                 # where the first block abandons little, the rest is one more product
-                partial += query[:, head:] @ c[t : t + 2048, head:].T
-                near = 2 - 2 * partial <= bound[q : q + 2048, None] + 1e-5
+                partial += turned_rows[:, head:] @ c[t : t + 2048, head:].T
+                near = 2 - 2 * partial <= bound[rows, None] + 1e-5
             i, j = np.nonzero(near)
-            i, j = i + q, j + t
-            partial = q_head[i - q] + c_head[j] - 2 * partial[i - q, j - t]
+            partial = q_head[i] + c_head[j + t] - 2 * partial[i, j]
+            i, j = rows[i], j + t
             for b in range(1, 1 if dense else len(ends) - 1):
                 partial = partial + ((turned[i, ends[b - 1] : ends[b]] - c[j, ends[b - 1] : ends[b]]) ** 2).sum(1)
                 keep = partial <= bound[i] * cut[b]
@@ -183,13 +255,13 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
                 a, b = i[p : p + (1 << 18)], at[j[p : p + (1 << 18)]]
                 other = ids[a] != ids[b]
                 a, b = a[other], b[other]
-                exact = np.einsum("ij,ij->i", wide[a], wide[b])
-                keep = 2 - 2 * exact <= bound[a]
+                exact = np.round(np.einsum("ij,ij->i", wide[a], wide[b]), DIGITS)
+                keep = 2 - 2 * exact <= bound[a] + 4e-9
                 if least is not None:
                     keep &= exact >= least
                 held.append((a[keep], b[keep], exact[keep]))
                 size += int(keep.sum())
-                if size > 64 * k * len(query):
+                if size > 64 * k * len(rows):
                     held, size = squeeze(held)
         if least is None and size:
             held, size = squeeze(held)
@@ -199,73 +271,124 @@ def scan(ids: np.ndarray, x: np.ndarray, candidate: np.ndarray, k: int, least: f
     i, j, exact = (np.concatenate(z) for z in zip(*out))
     keep = np.zeros(len(i), dtype=bool)
     keep[best(i, j, exact)] = True
-    keep[best(j, i, exact)] = True
+    if query is None:
+        keep[best(j, i, exact)] = True
     return i[keep], j[keep], exact[keep]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim: int = 64, reach: float | None = None, list_size: int = LIST_SIZE, sigmas: float = PROBE_SIGMAS) -> DataFrame:
+def index_of(usable: DataFrame, total: int, k: int, dim: int, list_size: int, reach: float, sigmas: float, probes: int | None) -> Lists:
+    """Trains the lists.  The driver sees ``ROOT_SAMPLE`` vectors and the centroids; all else stays on the executors."""
+    lists = max(1, min(LISTS_MOST, round(total / list_size)))
+    wanted = max(4096, lists * SAMPLE_PER_LIST)
+    # rows by the hash of their vector, so copies come together
+    every = max(1, total // wanted)
+    sample = usable.where(F.pmod("h", F.lit(every)) == 0).select("embedding", "h")
+    thinner = max(1, wanted // ROOT_SAMPLE)
+    drawn = sample.where(F.pmod(F.xxhash64("h"), F.lit(thinner)) == 0).select("embedding").limit(2 * ROOT_SAMPLE).toArrow()["embedding"]
+    if len(drawn) == 0:
+        sample = usable.select("embedding", "h")
+        drawn = sample.select("embedding").limit(ROOT_SAMPLE).toArrow()["embedding"]
+    x, good = unit(matrix(drawn.combine_chunks(), dim)) if len(drawn) else (np.zeros((0, dim), dtype=np.float32), np.zeros(0, dtype=bool))
+    x = np.unique(x[good], axis=0) if good.any() else np.eye(1, dim, dtype=np.float32)
+    roots, _ = train(x, math.ceil(math.sqrt(lists)))
+    shared = usable.sparkSession.sparkContext.broadcast(roots)
+    per_list = max(1.0, total / every / lists)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, good = unit(matrix(batch.column(0), dim))
+            x = x[good]
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(x, shared.value), pa.int32()), packed(x, dim)], names=["root", "vector"])
+
+    def train_cell(table: pa.Table) -> pa.Table:
+        x = unpacked(table.column("vector"), dim)
+        n = len(x)
+        lists = max(1, round(n / per_list))
+        x = np.unique(x, axis=0)
+        x = x[np.random.default_rng(SEED).permutation(len(x))[:CELL_SAMPLE]]
+        centroids, shares = train(x, lists)
+        far = own_reach(x, nearest(x, centroids), len(centroids), k, reach)
+        return pa.table({"root": pa.array([table.column("root")[0].as_py()] * len(centroids), pa.int32()), "share": pa.array(shares * n), "reach": pa.array(far), "centroid": packed(centroids, dim)})
+
+    found = sample.mapInArrow(spread, "root int, vector binary").groupBy("root").applyInArrow(train_cell, "root int, share double, reach double, centroid binary").toArrow()
+    if not found.num_rows:
+        return Lists(roots[:1], np.zeros(1, dtype=np.int64), roots[:1], np.ones(1, dtype=np.int64), np.full(1, reach), sigmas, probes)
+    found = found.sort_by("root")
+    share = found["share"].to_numpy()
+    parts = np.maximum(1, np.ceil(share / share.sum() * total / BLOCK_SIZE)).astype(np.int64)
+    return Lists(roots, found["root"].to_numpy(), unpacked(found["centroid"], dim), parts, found["reach"].to_numpy(), sigmas, probes)
+
+
+def packed(x: np.ndarray, dim: int) -> pa.Array:
+    data = np.ascontiguousarray(x, dtype=np.float32)
+    return pa.Array.from_buffers(pa.binary(dim * 4), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), dim)
+
+
+def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim: int = 64, list_size: int = LIST_SIZE, sigmas: float = PROBE_SIGMAS, probes: int = PROBES, queries: Column | None = None) -> DataFrame:
     """id, other, cosine, rank: the k most similar other ids of each id, of cosine ``least`` or more if given.
 
-    ``vectors``: id (string), embedding.  ``reach``: distance within which neighbours are looked for in other lists; by
-    default that of ``least``, or 1.  A larger reach finds more and costs more."""
+    ``vectors``: id (string), embedding.  ``queries``: a condition on the id; only ids that meet it ask, against all
+    vectors.  More ``probes`` find more and cost more."""
     spark = vectors.sparkSession
     usable = vectors.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)).select("id", "embedding")
     usable = usable.withColumn("h", F.xxhash64("embedding"))
-    total = vectors.count()
-    if reach is None:
-        reach = math.sqrt(2 - 2 * least) if least is not None else 1.0
-    lists = max(1, min(LISTS_MOST, round(total / list_size)))
-    # the sample: rows by the hash of their vector, so copies come together; a bounded number of them
-    wanted = min(SAMPLE_MOST, max(4096, lists * SAMPLE_PER_LIST))
-    every = max(1, total // wanted)
-    taken = usable.where(F.pmod("h", F.lit(every)) == 0).select("embedding").limit(2 * wanted).toPandas()["embedding"]
-    if len(taken) == 0:
-        taken = usable.select("embedding").limit(wanted).toPandas()["embedding"]
-    sample, good = unit(np.stack(taken).astype(np.float32)) if len(taken) else (np.zeros((0, dim), dtype=np.float32), np.zeros(0, dtype=bool))
-    sample = np.unique(sample[good], axis=0) if good.any() else np.eye(1, dim, dtype=np.float32)
-    centroids, shares = train(sample, lists)
-    parts = np.maximum(1, np.ceil(shares * total / BLOCK_SIZE)).astype(np.int64)
-    index = spark.sparkContext.broadcast((Lists(centroids, parts, reaches(sample, centroids, k, reach), sigmas), rotation(dim)))
-
-    # copies: only if some vector has many, the rest of the plan works on the first k + 1 of each
-    copied = usable.groupBy("h").count().where(F.col("count") > COPIES).limit(1).count() > 0
-    extra = None
+    reach = math.sqrt(2 - 2 * least) if least is not None else 2.0
+    index = spark.sparkContext.broadcast((index_of(usable, vectors.count(), k, dim, list_size, reach, sigmas, None if least is not None else probes), rotation(dim)))
+
     # a row delivered again would take the place of another neighbour in the scan
-    usable = usable.dropDuplicates(["id", "h"])
-    if copied:
-        single = usable
-        ranked = single.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= k + 1)
-        first = ranked.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") > k)
-        extra = single.select("id", "h").join(first, "h").where(F.col("id") > F.col("first")[k]).select("id", F.explode(F.slice("first", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
-        usable = ranked.select("id", "embedding", "h")
+    copies = usable.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h")
+    usable = usable.dropDuplicates(["id", "h"]).withColumn("asks", F.lit(True) if queries is None else queries)
+    further = None
+    if copies.limit(1).count():
+        # copies beyond the first k + 1 are no one's neighbours and have those of the first
+        of_many = usable.join(copies, "h", "left_semi")
+        ranked = of_many.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= k + 1)
+        leaders = ranked.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).where(F.col("n") == k + 1).select("h", "leader", "last")
+        further = of_many.where("asks").select("id", "h").join(leaders, "h").where(F.col("id") > F.col("last")).select("id", "leader")
+        # the leader's list is needed whether it asks or not
+        first = ranked.join(leaders.select(F.col("leader").alias("id"), "h", F.lit(True).alias("leads")), ["id", "h"], "left")
+        first = first.select("id", "embedding", "h", (F.col("asks") | F.col("leads").isNotNull()).alias("asks"))
+        usable = usable.join(copies, "h", "left_anti").select("id", "embedding", "h", "asks").unionByName(first)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = index.value[0]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 raw = matrix(part.column(1), dim)
                 x, good = unit(raw)
-                row, block, candidate = lists.assign(x, part.column(2).to_numpy(zero_copy_only=False).view(np.uint64).astype(np.int64) & 0x7FFFFFFF)
+                asks = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                row, block, candidate, query = lists.assign(x, part.column(2).to_numpy(zero_copy_only=False).view(np.uint64).astype(np.int64) & 0x7FFFFFFF, asks)
                 keep = good[row]
-                row, block, candidate = row[keep], block[keep], candidate[keep]
-                packed = pa.Array.from_buffers(pa.binary(dim * 4), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column(0).take(pa.array(row)), pa.array(candidate), packed.take(pa.array(row))], names=["block", "id", "candidate", "vector"])
+                row, block, candidate, query = row[keep], block[keep], candidate[keep], query[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column(0).take(pa.array(row)), pa.array(candidate), pa.array(query), packed(raw, dim).take(pa.array(row))], names=["block", "id", "candidate", "query", "vector"])
+
+    some_ask = queries is not None
 
     def compare(table: pa.Table) -> pa.Table:
         rotate = index.value[1]
         ids = table.column("id").to_pandas().to_numpy()
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float32).reshape(len(ids), dim)
         keys = np.array([i.encode() for i in ids], dtype=object)
-        i, j, cosine = scan(keys, x, table.column("candidate").to_numpy(), k, least, rotate)
+        i, j, cosine = scan(keys, unpacked(table.column("vector"), dim), table.column("candidate").to_numpy(), k, least, rotate, table.column("query").to_numpy() if some_ask else None)
         return pa.table({"id": pa.array(ids[i], pa.string()), "other": pa.array(ids[j], pa.string()), "cosine": pa.array(cosine, pa.float64())})
 
-    sent = usable.mapInArrow(send, "block int, id string, candidate boolean, vector binary")
-    # blocks are tasks of their own: about one to a partition, whatever the session's setting
-    found = sent.repartition(int(min(8192, parts.sum())), "block").groupBy("block").applyInArrow(compare, "id string, other string, cosine double")
-    both = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
-    if extra is not None:
-        both = both.unionByName(extra)
-    each = both.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    sent = usable.select("id", "embedding", "h", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(send, "block int, id string, candidate boolean, query boolean, vector binary")
+    # blocks are tasks of their own, about one to a partition whatever the session's setting; very many share partitions
+    found = sent.repartition(int(min(1 << 15, index.value[0].parts.sum())), "block").groupBy("block").applyInArrow(compare, "id string, other string, cosine double")
+    if not some_ask:
+        found = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
+    each = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     nearest_first = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
-    return each.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    if further is not None:
+        lists = ranked.select(F.col("id").alias("leader"), "other", "cosine")
+        own = further.join(lists, "leader").select("id", "other", "cosine").unionByName(further.select("id", F.col("leader").alias("other"), F.lit(1.0).alias("cosine")))
+        own = own.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+        # a leader that wasn't asked for leaves again
+        ranked = ranked.unionByName(own)
+        ranked = ranked if queries is None else ranked.where(queries)
+    return ranked

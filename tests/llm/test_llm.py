@@ -240,6 +240,31 @@ def test_a_dense_third_of_all_vectors(spark):
     assert np.mean([len(got.get(i, set()) & set(o)) / len(o) for i, o in want.items()]) >= 0.98
 
 
+def test_copies_of_one_direction_share_their_neighbours(spark):
+    """Ties go to the smaller id, whatever the lengths of the vectors and however many copies there are."""
+    v = [float(x) for x in range(1, 9)]
+    rows = [(f"b{n:03d}", v) for n in range(80)] + [(f"a{n:03d}", [2 * x for x in v]) for n in range(80)] + [(f"c{n:03d}", [3 * x for x in v]) for n in range(5)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    for asked in (None, F.col("id").isin("b003", "b050", "a004", "c001")):
+        got = {}
+        for r in vectors.neighbours(df, 10, 0.92 if asked is None else None, dim=8, queries=asked).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.other)
+        first = [f"a{n:03d}" for n in range(10)]
+        assert got["b003"] == got["b050"] == got["c001"] == first and got["a004"] == [f"a{n:03d}" for n in range(11) if n != 4]
+        assert len(got) == (165 if asked is None else 4)
+
+
+def test_neighbours_of_some_ids_against_all(spark):
+    rows = vector_rows(200)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    got = {}
+    for r in vectors.neighbours(df, 5, dim=8, list_size=100, queries=F.col("id").endswith("00")).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    want = {i: o for i, o in brute(rows, 5, -2).items() if i.endswith("00")}
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[i]) & set(o)) / 5 for i, o in want.items()]) >= 0.95
+
+
 def test_no_vectors_no_neighbours(spark):
     df = spark.createDataFrame([("a", None)], "id string, embedding array<float>")
     assert vectors.neighbours(df, 5, 0.9, dim=8).count() == 0
