@@ -30,6 +30,8 @@ LIST_SIZE, SAMPLE_PER_LIST = 4096, 64
 ROOT_SAMPLE, CELL_SAMPLE = 32_768, 1 << 17
 #: Lists at most (64 MB of centroids on every executor): beyond 10^9 vectors lists grow.
 LISTS_MOST = 1 << 18
+#: Roots among whose lists a vector's own one is looked for.
+ROOTS = 4
 #: Lists that a vector without a threshold looks into.
 PROBES = 12
 #: Candidates of one task; longer lists are cut into blocks.
@@ -114,39 +116,43 @@ class Lists:
         return x @ self.centroids[self.begin[root] : self.begin[root + 1]].T
 
     def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Products with the roots, the nearest root, and the nearest list in it."""
+        """Products with the roots, the nearest list in the nearest few roots, and the product with its centroid."""
         near = x @ self.roots.T
         # roots without lists hold no vector
         near[:, np.diff(self.begin) == 0] = -np.inf
-        root = near.argmax(1)
-        cell = np.zeros(len(x), dtype=np.int64)
-        for r in np.unique(root):
-            rows = np.flatnonzero(root == r)
-            cell[rows] = self.begin[r] + self._within(x[rows], r).argmax(1)
-        return near, root, cell
-
-    def probed(self, x: np.ndarray, near: np.ndarray, root: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        look = self._first(near, ROOTS)
+        best, cell = np.full(len(x), -np.inf, dtype=np.float32), np.zeros(len(x), dtype=np.int64)
+        for r in np.flatnonzero(look.any(0)):
+            rows = np.flatnonzero(look[:, r])
+            d = self._within(x[rows], r)
+            j = d.argmax(1)
+            d = d[np.arange(len(rows)), j]
+            better = d > best[rows]
+            best[rows[better]], cell[rows[better]] = d[better], self.begin[r] + j[better]
+        return near, cell, best
+
+    @staticmethod
+    def _first(near: np.ndarray, n: int) -> np.ndarray:
+        """True for the n largest of each row, infinite ones aside."""
+        n = min(n, near.shape[1])
+        return (near >= -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(near)
+
+    def probed(self, x: np.ndarray, near: np.ndarray, cell: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and list of all lists that the rows look into; their own ones among them."""
         margin = self.margin[cell]
+        look = self._first(near, self.probes or ROOTS)
         if self.probes is None:
-            look = near[np.arange(len(x)), root][:, None] - near <= margin[:, None] * self.root_gaps[root]
-        else:
-            most = min(self.probes, near.shape[1])
-            look = near >= -np.partition(-near, most - 1, axis=1)[:, most - 1 : most]
-        look &= np.isfinite(near)
-        look[np.arange(len(x)), root] = True
+            top = near.argmax(1)
+            look |= near[np.arange(len(x)), top][:, None] - near <= margin[:, None] * self.root_gaps[top]
         rows, cells, nearness = [], [], []
         for r in np.flatnonzero(look.any(0)):
             at = np.flatnonzero(look[:, r])
             d = self._within(x[at], r)
             if self.probes is None:
-                best = d.argmax(1)
-                centres = self.centroids[self.begin[r] : self.begin[r + 1]]
-                gap = np.sqrt(np.maximum(2 - 2 * centres[best] @ centres.T, 0))
-                probe = d[np.arange(len(at)), best][:, None] - d <= margin[at][:, None] * gap
+                gap = np.sqrt(np.maximum(2 - 2 * self.centroids[cell[at]] @ self.centroids[self.begin[r] : self.begin[r + 1]].T, 0))
+                probe = best[at][:, None] - d <= margin[at][:, None] * gap
             else:
-                most = min(self.probes, d.shape[1])
-                probe = d >= -np.partition(-d, most - 1, axis=1)[:, most - 1 : most]
+                probe = self._first(d, self.probes)
             i, j = np.nonzero(probe)
             rows.append(at[i])
             cells.append(self.begin[r] + j)
@@ -158,15 +164,15 @@ class Lists:
             first = np.searchsorted(row, np.arange(len(x)))
             keep = np.arange(len(row)) - first[row] < self.probes
             row, found = row[keep], found[keep]
-        # the own list is the nearest of its root, but need not be among the nearest of all
+        # the own list is the nearest of a few roots, and need not be among the nearest of all
         missing = np.setdiff1d(np.arange(len(x)), row[found == cell[row]])
         return np.concatenate([row, missing]), np.concatenate([found, cell[missing]])
 
     def assign(self, x: np.ndarray, hashes: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, block, whether the row is a candidate there, and whether it is a query there."""
-        near, root, own = self.own(x)
+        near, own, best = self.own(x)
         q = np.flatnonzero(asks)
-        row, cell = self.probed(x[q], near[q], root[q], own[q]) if len(q) else (q, q)
+        row, cell = self.probed(x[q], near[q], own[q], best[q]) if len(q) else (q, q)
         row = q[row]
         count = self.parts[cell]
         row, cell = np.repeat(row, count), np.repeat(cell, count)
