@@ -31,7 +31,7 @@ ROOT_SAMPLE, CELL_SAMPLE = 32_768, 1 << 17
 #: Lists at most (64 MB of centroids on every executor): beyond 10^9 vectors lists grow.
 LISTS_MOST = 1 << 18
 #: Roots among whose lists a vector's own one is looked for.
-ROOTS = 4
+ROOTS = 8
 #: Lists that a vector without a threshold looks into.
 PROBES = 12
 #: Candidates of one task; longer lists are cut into blocks.
@@ -380,13 +380,14 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float | None = None, dim:
         ids = table.column("id").to_pandas().to_numpy()
         keys = np.array([i.encode() for i in ids], dtype=object)
         i, j, cosine = scan(keys, unpacked(table.column("vector"), dim), table.column("candidate").to_numpy(), k, least, rotate, table.column("query").to_numpy() if some_ask else None)
+        if not some_ask:
+            # a pair is told from both sides
+            i, j, cosine = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([cosine, cosine])
         return pa.table({"id": pa.array(ids[i], pa.string()), "other": pa.array(ids[j], pa.string()), "cosine": pa.array(cosine, pa.float64())})
 
     sent = usable.select("id", "embedding", "h", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(send, "block int, id string, candidate boolean, query boolean, vector binary")
     # blocks are tasks of their own, about one to a partition whatever the session's setting; very many share partitions
     found = sent.repartition(int(min(1 << 15, index.value[0].parts.sum())), "block").groupBy("block").applyInArrow(compare, "id string, other string, cosine double")
-    if not some_ask:
-        found = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
     each = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     nearest_first = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     ranked = each.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
