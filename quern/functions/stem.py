@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,6 +204,28 @@ def stem(c: Column) -> Column:
     return udf(c)
 
 
+def stem_words(c: Column) -> Column:
+    """The stems of an array of words; null for null.  Each distinct word of a batch is stemmed once."""
+
+    @F.arrow_udf("array<string>")
+    def udf(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        stems = pa.array([None if w is None else stem_word(w) for w in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), stems.take(coded.indices), mask=lists.is_null())
+
+    return udf(c)
+
+
+def heaviest(weights: Mapping[str, float], by: Callable[[str], str] = stem_word) -> dict[str, float]:
+    """Stem -> the largest weight of the words that have it."""
+    out: dict[str, float] = {}
+    for word, weight in weights.items():
+        out[by(word)] = max(weight, out.get(by(word), weight))
+    return out
+
+
 def normalize(c: Column, form: str = "NFKC") -> Column:
     """Unicode normal form, without control characters, with white space collapsed; null for null."""
 

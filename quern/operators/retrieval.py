@@ -6,7 +6,7 @@ scores go by the smaller doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -41,79 +41,98 @@ def postings(docs: DataFrame, doc_id: str, text: str, stem=lambda tokens: tokens
     return words.select("doc_id", "length", F.explode("words").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-#: Queries that are broadcast as one matrix; more of them are joined with the postings instead.
-QUERIES_MOST = 10_000
+#: Pairs of a query and a word that are sent to the executors at a time: two arrays of 32 MB.
+SLICE_PAIRS = 1 << 23
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, digits: int | None = 6, queries_most: int = QUERIES_MOST) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, digits: int | None = 6, normalise: Callable[[Column], Column] | None = None, slice_pairs: int = SLICE_PAIRS) -> DataFrame:
     """The k best documents by BM25 for any of a query's words; higher is better.
 
-    ``queries``: query_id, text; ``docs``: doc_id, text.  Words are counted once in a query.  Words in more than half of
-    the documents weigh almost nothing.  Documents of a null text are in no list and have the length 0.
-
-    Words that every document has would make a join as large as queries times documents.  So up to ``queries_most``
-    queries are sent to the documents: each batch of documents is scored as a product of two matrices and keeps its k
-    best for each query.  More queries go through the postings."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("words"), F.lit(0))).alias("mean"))
-    vocabulary = asked.select("term").distinct()
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    ``queries``: query_id, text; ``docs``: doc_id, text.  ``normalise`` makes what is compared of the folded words, such
+    as stems.  Words are counted once in a query.  Words in more than half of the documents weigh almost nothing.
+    Documents of a null text are in no list and have the length 0.
+
+    Words that every document has would make a join as large as queries times documents.  So queries go to the
+    documents, as lists of the queries that hold a word; each batch of documents adds up its scores and keeps the k best
+    of each query.  Queries come in slices of about ``slice_pairs`` words, so what is sent is bounded."""
+    words_of = lambda c: T.tokens(c) if normalise is None else normalise(T.tokens(c))
+    asked = queries.select("query_id", words_of(F.col("text")).alias("words")).select("query_id", F.explode(F.array_distinct("words")).alias("term"))
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    total = asked.count()
+    slices = max(1, -(-total // slice_pairs))
+    # the number of documents, their mean length, and in how many of them a word is: one pass
+    vocabulary = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    length = F.greatest(F.size("words"), F.lit(0))
+    each = F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("words"), F.array().cast("array<string>")))
+    df = words.select(length.alias("length"), F.explode(each).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    size = df.where("term = ''").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("mean"))
     idf = F.when(F.col("n") * 1.0 > 2 * F.col("df"), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(1e-6)
-    weighted = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "mean")
-    few = queries.select("query_id").limit(queries_most + 1).count() <= queries_most
-    scored = _bm25_matrix(asked, weighted, words, k, digits) if few else _bm25_postings(asked, weighted, words, digits)
+    weighted = df.where("term <> ''").join(F.broadcast(size)).select("term", idf.alias("idf"), "mean")
+    pairs = asked.join(weighted, "term").select("query_id", "term", "idf", "mean")
+    if slices > 1:
+        pairs = pairs.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+    scored = None
+    for n in range(slices):
+        part = (pairs.where(F.col("slice") == n).drop("slice") if slices > 1 else pairs).toArrow()
+        hits = _bm25_slice(part, words, k, digits, asked.schema["query_id"].dataType.simpleString())
+        if hits is not None:
+            scored = hits if scored is None else scored.unionByName(hits)
+    if scored is None:
+        kinds = (asked.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString())
+        scored = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
     return ranked(scored, k, channel="bm25")
 
 
-def _bm25_postings(asked: DataFrame, weighted: DataFrame, words: DataFrame, digits: int | None) -> DataFrame:
-    post = words.withColumn("length", F.size("words")).select("doc_id", "length", F.explode("words").alias("term")).join(weighted, "term").groupBy("doc_id", "length", "term", "idf", "mean").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = asked.join(post, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return scored if digits is None else scored.withColumn("score", F.round("score", digits))
-
-
-def _bm25_matrix(asked: DataFrame, weighted: DataFrame, words: DataFrame, k: int, digits: int | None) -> DataFrame:
-    spark = words.sparkSession
-    terms = weighted.toPandas()  # the words of a bounded number of queries
-    pairs = asked.join(weighted.select("term"), "term").toPandas()
-    query_ids = np.sort(pairs["query_id"].unique())
-    place = {t: n for n, t in enumerate(terms["term"])}
-    wanted = np.zeros((len(place), len(query_ids)))
-    wanted[pairs["term"].map(place).to_numpy(dtype=np.int64), np.searchsorted(query_ids, pairs["query_id"].to_numpy())] = 1
-    mean = float(terms["mean"].iloc[0] or 0) if len(terms) else 0.0
-    shared = spark.sparkContext.broadcast((place, terms["idf"].to_numpy(), wanted, query_ids))
-    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((asked, "query_id"), (words, "doc_id"))}
+def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, kind: str) -> DataFrame | None:
+    """Scores of the documents for the queries of ``pairs``: query_id, term, idf, mean."""
+    if not pairs.num_rows:
+        return None
+    ids = pairs["query_id"].combine_chunks().dictionary_encode()
+    terms = pairs["term"].combine_chunks().dictionary_encode()
+    term, query = terms.indices.to_numpy(), ids.indices.to_numpy()
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(terms.dictionary) + 1))
+    idf = np.zeros(len(terms.dictionary))
+    idf[term] = pairs["idf"].to_numpy()
+    place = {t: n for n, t in enumerate(terms.dictionary.to_pylist())}
+    shared = words.sparkSession.sparkContext.broadcast((place, idf, first, query[order].astype(np.int32), ids.dictionary, float(pairs["mean"][0].as_py() or 0)))
 
     def score(batches):
-        place, idf, wanted, query_ids = shared.value
-        step = max(16, (4 << 20) // max(1, len(place) + len(query_ids)))
+        place, idf, first, of_term, ids, mean = shared.value
+        queries, degree = len(ids), np.diff(first)
+        step = max(16, (2 << 20) // max(1, queries))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                lists = part.column(1)
+                lists, n = part.column(1), part.num_rows
                 length = np.maximum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
                 coded = lists.flatten().dictionary_encode()
                 known = np.array([place.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-                term = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, dtype=np.int64)
-                row = np.repeat(np.arange(part.num_rows), length)
-                keep = term >= 0
-                tf = np.bincount(row[keep] * len(place) + term[keep], minlength=part.num_rows * len(place)).reshape(part.num_rows, len(place)).astype(np.float64)
-                norm = K1 * (1 - B + B * length / mean) if mean else np.ones(part.num_rows)
-                s = (idf * tf * (K1 + 1) / np.where(tf > 0, tf + norm[:, None], 1)) @ wanted
-                hit = ((tf > 0).astype(np.float32) @ wanted.astype(np.float32)) > 0
+                found = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, dtype=np.int64)
+                row = np.repeat(np.arange(n), length)
+                keep = found >= 0
+                cell, tf = np.unique(row[keep] * len(place) + found[keep], return_counts=True)
+                row, found = np.divmod(cell, len(place))
+                norm = K1 * (1 - B + B * length[row] / mean) if mean else 1.0
+                weight = idf[found] * tf * (K1 + 1) / (tf + norm)
+                # each word of a document meets the queries that hold it
+                many = degree[found]
+                spread = np.repeat(first[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                target = np.repeat(row, many) * queries + of_term[spread]
+                s = np.bincount(target, weights=np.repeat(weight, many), minlength=n * queries).astype(np.float64).reshape(n, queries)
+                hit = np.zeros(n * queries, dtype=bool)
+                hit[target] = True
+                hit = hit.reshape(n, queries)
                 if digits is not None:
                     s = np.round(s, digits)
                 s[~hit] = -np.inf
                 # ties with the k-th best stay in: the final ranking decides
-                top = min(k, len(s))
-                kth = np.partition(s, len(s) - top, axis=0)[len(s) - top]
+                top = min(k, n)
+                kth = np.partition(s, n - top, axis=0)[n - top]
                 i, j = np.nonzero((s >= kth) & hit)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[j]), part.column(0).take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
 
-    if not len(place):
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
-    return words.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return words.mapInArrow(score, f"query_id {kind}, doc_id {words.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -212,10 +231,10 @@ def fuse(hits: DataFrame, k: int = 60, weights: Mapping[str, float] = WEIGHTS, b
     """Weighted reciprocal rank fusion: score = sum of weight / (k + rank) over the channels.
 
     Ties go to the document that comes first in the first channel, in the order of CHANNELS.  A channel of weight 0
-    still brings its documents in."""
+    still brings its documents in.  A hit's own ``weight``, if there is such a column and it isn't null, comes first."""
     table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     place = F.create_map(*(F.lit(x) for kv in ((c, n) for n, c in enumerate(CHANNELS)) for x in kv))
-    weight = F.coalesce(F.try_element_at(table, F.col("channel")), F.lit(1.0))
+    weight = F.coalesce(*([F.col("weight")] if "weight" in hits.columns else []), F.try_element_at(table, F.col("channel")), F.lit(1.0))
     first = F.struct(F.coalesce(F.try_element_at(place, F.col("channel")), F.lit(len(CHANNELS))).alias("c"), F.col("rank").alias("r"))
     fused = hits.groupBy(*by, "doc_id").agg(F.round(F.sum(weight / (k + F.col("rank"))), digits).alias("score"), F.min(first).alias("_first"))
     w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "_first", "doc_id")
@@ -233,6 +252,11 @@ def adaptive_k(hits: DataFrame, least_score: float = 0.005, least: int = 3, most
     return gaps.withColumn("_cut", F.when(F.col("_n") <= least, F.col("_n")).otherwise(cut)).where(F.col("rank") <= F.col("_cut")).drop("_gap", "_n", "_top", "_cut")
 
 
+def ranked_again(hits: DataFrame) -> DataFrame:
+    """Ranks without holes, in the order they have."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
 def drop_pages(hits: DataFrame, where: DataFrame, pages: DataFrame) -> DataFrame:
     """Hits without those on unwanted pages.  ``where``: doc_id, source, page, one row for each id; ``pages``: source,
     page.  Ids that are nowhere, and null pages, stay."""

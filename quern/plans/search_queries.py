@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..functions import text as T
-from ..operators import context, curate, metrics, retrieval
+from ..operators import context, curate, metrics, retrieval, search, tables
 from .registry import Tables, query
 
-#: Terms of questions that ask for a table, and the weight of each.
-STRONG = ["bareme", "departage", "coefficient", "glossaire", "definition"]
-WEAK = ["cadence", "age", "elo", "classement", "titre", "norme", "echiquier", "frais", "deplacement", "distance", "categorie"]
-INTENT = {"grille": 0.9, "bareme": 0.8, "cadence": 0.7, "elo": 0.8, "classement": 0.6, "titre": 0.6, "norme": 0.7, "departage": 0.7, "frais": 0.6, "coefficient": 0.7, "echiquier": 0.5, "equipe": 0.6, "joueur": 0.3}
+#: Terms of questions that ask for a table (one strong, or two weak and a number), and the weight of each.
+STRONG = "berger grille scheveningen appariement poussin pupille benjamin minime cadet junior bareme departage coefficient glossaire definition".split()
+WEAK = "cadence age elo classement titre norme echiquier frais deplacement distance categorie".split()
+INTENT = (
+    {"berger": 1.0, "grille": 0.9, "scheveningen": 1.0, "bareme": 0.8, "categorie": 0.7, "cadence": 0.7, "elo": 0.8, "classement": 0.6, "titre": 0.6, "norme": 0.7, "departage": 0.7, "frais": 0.6, "deplacement": 0.5, "coefficient": 0.7, "age": 0.4}
+    | dict.fromkeys(("poussin", "pupille", "benjamin", "minime", "cadet", "junior"), 0.5)
+    | {"glossaire": 0.3, "definition": 0.3, "equipe": 0.6, "echiquier": 0.5, "joueur": 0.3, "nationale": 0.4}
+)
 
 FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 
@@ -280,8 +285,6 @@ CELLS = (
 
 
 def cells_of(t: Tables) -> DataFrame:
-    from ..operators import tables
-
     return tables.cells(summaries(t).select("id", "raw_table_text"))
 
 
@@ -317,8 +320,8 @@ def neighbour_pages(t):
 @query()
 def neighbour_tables(t):
     """The same under a budget of words for each question."""
-    tables = summaries(t).select("id", F.col("raw_table_text").alias("text"), "source", "page").where("page is not null")
-    return context.neighbour_tables(contexts_of(t), tables)
+    beside = summaries(t).select("id", F.col("raw_table_text").alias("text"), "source", "page").where("page is not null")
+    return context.neighbour_tables(contexts_of(t), beside)
 
 
 @query(VEC + ", hn as (select query_id, doc_id, score, score >= 0.3 as in_window, row_number() over (partition by query_id order by (score >= 0.3) desc, score desc, doc_id) as n from vt where q_label <> d_label and score <= 0.9) select query_id, doc_id, score, in_window from hn where n = 1")
@@ -328,3 +331,105 @@ def hard_negatives(t):
     hits = _vector_hits(t).join(label, "doc_id")
     positives = label.withColumnRenamed("doc_id", "query_id")
     return curate.hard_negatives(hits, positives, 0.3, 0.9)
+
+
+# -- the whole search
+
+#: Pages without content of their own (a parameter of the search), and the sources whose tables are targeted.
+INTRO = [("RG01_Reglement_general_ligue.pdf", 1), ("LV01_Livret_arbitre_club.pdf", 1), ("LV01_Livret_arbitre_club.pdf", 100)]
+TARGETED = "AN"
+
+
+def collection(t: Tables) -> search.Collection:
+    """Passages and tables.  Rows of tables have the vector of their table; those of annexes are targeted as well."""
+    c, s = children(t), summaries(t)
+    texts = (c.select(F.col("id").alias("doc_id"), "text"), s.select(F.col("id").alias("doc_id"), F.col("summary_text").alias("text")))
+    usable = "size(embedding) = 64"
+    vectors = c.where(usable).select(F.col("id").alias("doc_id"), "embedding").unionByName(s.where(usable).select(F.col("id").alias("doc_id"), "embedding"))
+    cells = cells_of(t)
+    rows = cells.select("id", "row_idx").distinct().join(s.where(usable).select("id", "embedding", "source"), "id")
+    row_id = lambda mark: F.concat("id", F.lit(mark), F.lpad(F.col("row_idx").cast("string"), 3, "0")).alias("doc_id")
+    targeted = rows.where(F.startswith("source", F.lit(TARGETED)))
+    places = c.select(F.col("id").alias("doc_id"), "source", "page").unionByName(s.select(F.col("id").alias("doc_id"), "source", "page"))
+    return search.Collection(texts, vectors, cells.withColumnRenamed("id", "table_id"), rows.select(row_id("-r"), "embedding"), targeted.select(row_id("-tr"), "embedding"), places)
+
+
+def _searched(t: Tables, intent: dict[str, float], normalise=None) -> DataFrame:
+    vector = children(t).where("size(embedding) = 64").select(F.col("id").alias("chunk_id"), "embedding")
+    queries = asked(t).join(vector, "chunk_id", "left").select("query_id", "text", "embedding")
+    intro = t.spark.createDataFrame(INTRO, "source string, page int")
+    return search.search(queries, collection(t), intent, intro, normalise=normalise)
+
+
+def _bm25_sql(p: str, docs: str) -> str:
+    """BM25 lists of 20 as CTEs whose names begin with p; docs: doc_id, text."""
+    return (
+        f"{p}dw as (select doc_id, {words_sql('text')} as ws from ({docs})), {p}st as (select count(*) as n, avg(coalesce(len(ws), 0)) as mean from {p}dw), "
+        f"{p}po as (select doc_id, len(ws) as length, unnest(ws) as term from {p}dw), {p}tf as (select doc_id, length, term, count(*) as tf from {p}po where term in (select term from qt) group by all), "
+        f"{p}df as (select term, count(*) as df from {p}tf group by term), {p}wt as (select term, mean, case when n > 2 * df then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end as idf from {p}df, {p}st), "
+        f"{p}sc as (select query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from qt join {p}wt using (term) join {p}tf using (term) group by all), "
+        f"{p}bm as (select query_id, doc_id, score from {p}sc qualify row_number() over (partition by query_id order by score desc, doc_id) <= 20)"
+    )
+
+
+def _vectors_sql(name: str, docs: str, k: int, asks: str = "qv") -> str:
+    return f"{name} as (select query_id, '{name}' as channel, d.doc_id, row_number() over (partition by query_id order by round(list_dot_product(q.v, d.v), 6) desc, d.doc_id) as rank from {asks} q, {docs} d qualify rank <= {k})"
+
+
+FULL = ", ".join(
+    [
+        CELLS,
+        CHILDREN,
+        QUESTIONS,
+        "tv as (select id, any_value(embedding)::double[] as v, any_value(source) as source from table_summaries where len(embedding) = 64 group by id)",
+        f"qt as (select query_id, unnest(list_distinct({words_sql('text')})) as term from qs)",
+        _bm25_sql("c", "select id as doc_id, text from ch"),
+        _bm25_sql("s", "select id as doc_id, summary_text as text from ts"),
+        "bm25 as (select query_id, 'bm25' as channel, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select * from cbm union all select * from sbm) qualify rank <= 20)",
+        "av as (select id as doc_id, embedding::double[] as v from ch where len(embedding) = 64 union all select id, v from tv)",
+        "qv as (select query_id, av.v from qs join av on av.doc_id = qs.chunk_id join ch on ch.id = qs.chunk_id)",
+        f"iw as (select unnest({WEIGHTS_SQL}) as k)",
+        f"qw as (select query_id, text, {words_sql('text')} as ws from qs)",
+        "qi as (select query_id, round(least(coalesce((select sum(k.x) from iw where list_contains(ws, k.w)), 0) + case when regexp_matches(text, '\\b\\d{3,4}\\b') then 0.5 else 0 end, 3.0), 6)::double as intent from qw)",
+        "qg as (select * from qv where query_id in (select query_id from qi where intent > 0))",
+        "rv as (select distinct ce.id || '-r' || lpad(row_idx::varchar, 3, '0') as doc_id, v from ce join tv using (id))",
+        f"gv as (select distinct ce.id || '-tr' || lpad(row_idx::varchar, 3, '0') as doc_id, v from ce join tv using (id) where starts_with(source, '{TARGETED}'))",
+        _vectors_sql("cosine", "av", 20),
+        _vectors_sql("rows", "rv", 10),
+        _vectors_sql("targeted", "gv", 10, "qg"),
+        f"cq as (select distinct query_id, {FOLD.format('term')} as term from (select query_id, unnest({TERMS.replace('question', 'text')}) as term from qs where query_id in (select query_id from qi where intent > 0)))",
+        f"cw as (select distinct id, row_idx, col_idx, unnest({words_sql('cell_value')}) as word, 1.0 as worth from ce)",
+        f"hw as (select distinct id, row_idx, col_idx, unnest({words_sql('col_name')}) as word, 0.5 as worth from ce)",
+        "mt as (select distinct query_id, id, row_idx, col_idx, worth from (select * from cw union all select * from hw) c join cq on starts_with(c.word, cq.term))",
+        "cs as (select query_id, id as doc_id, sum(worth)::double as score from mt group by all having sum(worth) >= 2)",
+        "structured as (select query_id, 'structured' as channel, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from cs qualify rank <= 5)",
+        "ac as (select *, 0 as place, 1.0 as fixed from cosine union all select *, 1, 1.0 from bm25 union all select *, 2, null from structured union all select *, 3, 0.5 from rows union all select *, 5, null from targeted)",
+        "lw as (select ac.*, coalesce(fixed, case when intent < 0.3 then 0 when channel = 'structured' then least(1.5 * intent, 1.5) else least(intent, 1.0) end)::double as w from ac join qi using (query_id))",
+        "fu as (select query_id, doc_id, round(sum(w / (60 + rank)), 12) as score, min(place * 1000 + rank) as f from lw group by all)",
+        "pl as (select id as doc_id, source, page from ch union all select id, source, page from ts)",
+        "bad as (select doc_id from pl where " + " or ".join(f"source = '{s}' and page = {n}" for s, n in INTRO) + ")",
+        "fr as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, f, doc_id) as rank from fu where doc_id not in (select doc_id from bad))",
+    ]
+)
+
+
+@query()
+def full_search(t):
+    """All channels over stems, to the ids that contexts are made of."""
+    return _searched(t, stem.heaviest(INTENT), stem.stem_words)
+
+
+@query(FULL + ADAPTIVE + " select * from ad")
+def full_search_unstemmed(t):
+    """The same over words as they are, which SQL can say too."""
+    return _searched(t, INTENT)
+
+
+@query(FULL + " select query_id, channel, doc_id, rank, w as weight from lw")
+def search_channels(t):
+    """The five lists of each question, with the weights of the two that depend on it."""
+    c = collection(t)
+    vector = children(t).where("size(embedding) = 64").select(F.col("id").alias("chunk_id"), "embedding")
+    queries = asked(t).join(vector, "chunk_id", "left").select("query_id", "text", "embedding")
+    fixed = F.when(F.col("channel") == "rows", 0.5).otherwise(1.0)
+    return search.channels(queries, c, search.table_weights(queries, INTENT)).withColumn("weight", F.coalesce("weight", fixed))

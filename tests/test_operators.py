@@ -39,16 +39,46 @@ def test_fusion_adds_reciprocal_ranks_and_breaks_ties_by_channel(spark):
     assert zero.where("doc_id = 'c'").first().score == 0
 
 
-def test_bm25_by_both_ways(spark):
+def test_bm25_in_one_slice_and_in_several(spark):
     docs = spark.createDataFrame([("a", "le forfait du joueur"), ("b", "Forfait ! forfait sportif"), ("c", "la pendule"), ("d", None), ("e", "")], "doc_id string, text string").withColumn("score", F.lit(1))
     queries = spark.createDataFrame([("q", "forfait sportif"), ("r", None), ("s", "absent")], "query_id string, text string")
-    one, two = (retrieval.bm25(queries, docs, 5, queries_most=n).select("query_id", "doc_id", "score", "rank").collect() for n in (100, 0))
+    one, two = (retrieval.bm25(queries, docs, 5, slice_pairs=n).select("query_id", "doc_id", "score", "rank").collect() for n in (100, 2))
     assert sorted(one) == sorted(two)
     assert [r.doc_id for r in sorted(one, key=lambda r: r.rank)] == ["b", "a"]
     assert retrieval.bm25(queries, docs.limit(0)).count() == 0
     assert retrieval.bm25(queries.limit(0), docs).count() == 0
 
 
+def test_search_stems_words_and_weighs_channels(spark):
+    from quern.operators import search
+
+    texts = spark.createDataFrame([("a", "les chevaux du joueur"), ("b", "la tour"), ("c", "un barème de départages"), ("d", None), ("e", "titre"), ("f", "autre"), ("g", "encore")], "doc_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "doc_id string, embedding array<double>")
+    rows = spark.createDataFrame([("t-r000", [1.0, 0.0])], "doc_id string, embedding array<double>")
+    cells = spark.createDataFrame([("t", "barème", "départage un"), ("t", "barème", "départage deux"), ("u", "x", "y")], "table_id string, col_name string, cell_value string")
+    places = spark.createDataFrame([("a", "s", 1), ("b", "s", 2), ("t", "s", 3)], "doc_id string, source string, page int")
+    c = search.Collection((texts, texts.limit(0)), vectors, cells, rows, rows.withColumn("doc_id", F.lit("t-tr000")), places)
+    queries = spark.createDataFrame([("q", "cheval", [0.0, 1.0]), ("r", "quel barème de départage ?", None), ("s", None, None)], "query_id string, text string, embedding array<double>")
+    weights = {"bareme": 0.8, "departage": 0.7}
+    intent = {r.query_id: (r.intent, r.structured, r.targeted) for r in search.table_weights(queries, stem.heaviest(weights), stem.stem_words).collect()}
+    assert intent["q"] == (0.0, 0.0, 0.0) and intent["r"] == (1.5, 1.5, 1.0)
+    intro = spark.createDataFrame([("s", 2)], "source string, page int")
+    hits = search.search(queries, c, stem.heaviest(weights), intro, normalise=stem.stem_words).orderBy("query_id", "rank").collect()
+    found = {q: [r.doc_id for r in hits if r.query_id == q] for q in "qrs"}
+    # b is the nearest, but on a page without content; "cheval" finds "chevaux" by its stem only
+    assert found["q"][0] == "a" and "b" not in found["q"] and found["r"][0] == "t" and "c" in found["r"] and found["s"] == []
+    plain = search.search(queries, c, weights, intro)
+    assert {r.doc_id for r in plain.where("query_id = 'q' and rank = 1").collect()} == {"a"}
+    listed = search.channels(queries, c, search.table_weights(queries, weights)).where("query_id = 'q'").collect()
+    assert {r.channel for r in listed} == {"cosine", "bm25", "rows"}
+
+
+def test_stems_of_word_lists(spark):
+    df = spark.createDataFrame([(["chevaux", None, "1.2"],), (None,), ([],)], "ws array<string>")
+    assert [r[0] for r in df.select(stem.stem_words(F.col("ws"))).collect()] == [["cheval", None, "1.2"], None, []]
+    assert stem.heaviest({"joueur": 0.3, "joueurs": 0.5}) == {stem.stem_word("joueur"): 0.5}
+
+
 def test_vector_topk_with_ties_nulls_and_no_rows(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [])], "doc_id long, embedding array<float>")
     q = docs.withColumnRenamed("doc_id", "query_id")
