@@ -14,9 +14,34 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Values of ``draw``, and the ranges of them that places are counted in; one row for each is broadcast at most.
+DRAWS, RANGES = 1 << 60, 1 << 16
+
+
+def draw(*keys: Column, seed: int = 42) -> Column:
+    """A whole number from 0 to 2^60 - 1 that depends on the seed and the keys only: the first digits of an MD5, which
+    other engines have as well."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def lot(*keys: Column, seed: int = 42) -> Column:
     """A number in [0, 1) that depends on the seed and the keys only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return draw(*keys, seed=seed) / F.lit(float(DRAWS))
+
+
+def placed(df: DataFrame, key: str, seed: int = 42, size: Column | None = None) -> DataFrame:
+    """``_place``: how many rows (or how much ``size``) come before the row in the order of draws, then keys; ``_all``: the
+    total.
+
+    Counts of ranges of draws give where each range begins, so no task orders all rows."""
+    rows = df.withColumn("_draw", draw(F.col(key), seed=seed)).withColumn("_size", F.lit(1).cast("long") if size is None else size.cast("long"))
+    rows = rows.withColumn("_range", F.shiftright("_draw", 44))
+    counts = rows.groupBy("_range").agg(F.sum("_size").alias("_c"))
+    begins = counts.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
+    within = Window.partitionBy("_range").orderBy("_draw", key).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(begins), "_range").withColumn("_place", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    return out.drop("_range", "_before", "_size")
 
 
 def exact_duplicates(df: DataFrame, c: Column) -> DataFrame:
@@ -30,22 +55,21 @@ def first_by_priority(df: DataFrame, c: Column, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(c).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def greedy_unique(df: DataFrame, edges: DataFrame, key: str, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d, rounds: int = 50) -> DataFrame:
+def greedy_unique(df: DataFrame, edges: DataFrame, key: str, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Rows in the order of their keys, without those that a kept earlier one is linked to.
 
     ``edges``: a, b with a < b.  A removed row removes none.  Each round settles every row whose earlier neighbours are
-    settled: one with a kept neighbour goes, one whose neighbours are all gone stays.  The rounds needed are the longest
-    chain of rows that wait for one another; a chain longer than ``rounds`` raises."""
+    settled: one with a kept neighbour goes, one whose neighbours are all gone stays.  The first open row of a group always
+    settles, so it ends; the rounds needed are the longest chain of rows that wait for one another."""
     edges = checkpoint(edges.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).distinct()
     state = checkpoint(nodes.withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    while True:
         before = edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("k")).agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_or(F.col("a_kept").isNull()).alias("open"))
         settled = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)
         state = checkpoint(state.join(before, "k", "left").select("k", settled.alias("kept")))
         if state.where("kept is null").limit(1).count() == 0:
             return df.join(state.where("not kept").select(F.col("k").alias(key)), key, "left_anti")
-    raise ValueError(f"rows still wait for one another after {rounds} rounds")
 
 
 def similar_pairs(df: DataFrame, key: str, embedding: str, least: float, block: int = 8192) -> DataFrame:
@@ -113,17 +137,9 @@ def round_robin(df: DataFrame, stratum: str, group: str, order: list[Column], qu
 
 
 def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """``part``: train for exactly int(n * share) rows, drawn by lot, else val.
-
-    The place in the order comes from counts of ranges of lots, so no task sorts all rows: only the one range that the
-    cut falls into is sorted."""
-    rows = df.withColumn("_lot", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.shiftright(F.col("_lot"), 48))
-    n = df.count()
-    cut = int(n * share)
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_before"])
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_lot", key)) + F.col("_before")
-    return rows.join(F.broadcast(upto), "_b").withColumn("part", F.when(place <= cut, "train").otherwise("val")).drop("_lot", "_b", "_c", "_before")
+    """``part``: train for exactly int(n * share) rows, drawn by lot, else val."""
+    cut = F.floor(F.col("_all") * F.lit(share))
+    return placed(df, key, seed).withColumn("part", F.when(F.col("_place") < cut, "train").otherwise("val")).drop("_draw", "_place", "_all")
 
 
 def hold_out(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -140,21 +156,30 @@ def modes(c: Column, shares: Mapping[str, float], seed: int = 42) -> Column:
     return out
 
 
-def negatives(questions: DataFrame, passages: DataFrame, n: int = 1, seed: int = 42, page_gap: int | None = None) -> DataFrame:
+def negatives(questions: DataFrame, passages: DataFrame, n: int = 1, seed: int = 42, page_gap: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """For each question ``n`` passages drawn by lot that aren't on its page (or within ``page_gap`` pages of it).
 
-    ``questions``: query_id, source, page; ``passages``: doc_id, source, page.  A question looks at a few places of a ring
-    of lots that passages lie on, so there is no cross join: it takes the passages of its ring slots, and more slots
-    than it needs cover those that don't qualify."""
-    size = passages.count()
-    slots = max(1, size // 8)
-    ring = passages.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(slots)))
-    tries = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n + 3)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "query_id", k), F.lit(slots)))).alias("slot")
-    drawn = questions.select("query_id", F.col("source").alias("q_source"), F.col("page").alias("q_page"), tries).distinct().join(ring, "slot")
-    gap = F.abs(F.col("page") - F.col("q_page")) > (page_gap or 0)
-    drawn = drawn.where((F.col("source") != F.col("q_source")) | F.coalesce(gap, F.lit(True)))
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "doc_id"), "doc_id")
-    return drawn.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n).select("query_id", "doc_id", "draw")
+    ``questions``: query_id, source, page; ``passages``: doc_id, source, page.  Passages lie on a ring in the order of their
+    lots; a question takes the first that qualify from a place of its own on.  It looks at a few places; questions that
+    found fewer than ``n`` look at twice as many, until all have theirs or have seen the whole ring, so a question has
+    fewer than ``n`` only where fewer qualify."""
+    ring = checkpoint(placed(passages.select("doc_id", "source", "page"), "doc_id", seed).drop("_draw", "_all"))
+    size = ring.count()
+    asked = questions.select("query_id", F.col("source").alias("q_source"), F.col("page").alias("q_page"), F.pmod(draw(F.col("query_id"), seed=seed), F.lit(max(size, 1))).alias("_at"))
+    off = ~F.col("source").eqNullSafe(F.col("q_source")) | F.coalesce(F.abs(F.col("page") - F.col("q_page")) > (page_gap or 0), F.lit(True))
+    first = Window.partitionBy("query_id").orderBy("_step")
+    look, done = min(size, n + 4), None
+    while True:
+        steps = asked.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(max(look - 1, 0))))).withColumn("_place", F.pmod(F.col("_at") + F.col("_step"), F.lit(max(size, 1))))
+        found = steps.join(ring, "_place").where(off).withColumn("draw", F.row_number().over(first)).where(F.col("draw") <= n).select("query_id", "doc_id", "draw")
+        if look < size:
+            found = checkpoint(found)
+            full = found.where(F.col("draw") == n).select("query_id")
+            found, asked = found.join(full, "query_id", "left_semi"), checkpoint(asked.join(full, "query_id", "left_anti"))
+        done = found if done is None else done.unionByName(found)
+        if look >= size or not asked.limit(1).count():
+            return done
+        look = min(size, 2 * look)
 
 
 def hard_negatives(hits: DataFrame, positives: DataFrame, low: float, high: float, page_gap: int = 2) -> DataFrame:
@@ -174,16 +199,19 @@ def cloze_pairs(passages: DataFrame, mask: float = 0.9, seed: int = 42, least: i
 
     ``passages``: doc_id, text.  Passages of fewer than two sentences give none."""
     found = passages.withColumn("s", T.sentences(F.col("text"), least)).where(F.size("s") >= 2)
-    pick = F.element_at("s", (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.size("s")) + 1).cast("int"))
+    pick = F.element_at("s", (F.pmod(draw(F.col("doc_id"), seed=seed), F.size("s")) + 1).cast("int"))
     drawn = found.withColumn("query", pick)
     masked = F.trim(F.regexp_replace(F.replace("text", "query", F.lit("")), r"[^\S\n]{2,}", " "))
     return drawn.select("doc_id", "query", F.when(lot(F.col("doc_id"), F.lit("mask"), seed=seed) < mask, masked).otherwise(F.col("text")).alias("passage"))
 
 
 def batches(df: DataFrame, key: str, size: int = 40, most: int = 5) -> DataFrame:
-    """Review batches in the order of the keys: slices of ``size``, the last of ``most`` takes the rest."""
-    w = Window.orderBy(key)
-    return df.withColumn("batch", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(most - 1)).cast("int"))
+    """Review batches in the order of the keys, which are distinct: slices of ``size``, the last of ``most`` takes the rest.
+
+    Only the rows of the other slices, ``size * (most - 1)``, are put in order."""
+    first = df.select(key).orderBy(key).limit(size * (most - 1)).withColumn("_n", F.row_number().over(Window.orderBy(key)))
+    joined = df.join(F.broadcast(first), key, "left")
+    return joined.withColumn("batch", F.coalesce(F.floor((F.col("_n") - 1) / size), F.lit(most - 1)).cast("int")).drop("_n")
 
 
 def keyword_counts(docs: DataFrame, stop: Sequence[str], n: int = 8, least: int = 4) -> DataFrame:
@@ -215,19 +243,16 @@ def around(docs: DataFrame, pattern: str, radius: int = 2) -> DataFrame:
 
 
 def fixed_length(docs: DataFrame, key: str, size: str, length: int) -> DataFrame:
-    """Sequence packing: items laid end to end, each followed by one separator, cut every ``length``; the tail is dropped.
-
-    key, sequence, at (place within it), n (units that lie in it).  Offsets are running sums within shards of keys'
-    hashes, plus the totals of the shards before, so no task orders all items."""
-    rows = docs.select(F.col(key).alias("key"), (F.col(size) + 1).cast("long").alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(64)))
-    totals = rows.groupBy("shard").agg(F.sum("n").alias("t")).withColumn("base", F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["base"]).withColumn("all", F.sum("t").over(Window.partitionBy()))
-    w = Window.partitionBy("shard").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(totals), "shard").withColumn("start", F.col("base") + F.col("before"))
+    """Sequence packing: items laid end to end in the order of their lots, each followed by one separator, cut every
+    ``length``; the tail is dropped.
+
+    key, sequence, at (place within it), n (units that lie in it)."""
+    start = placed(docs.select(F.col(key).alias("key"), (F.col(size) + 1).cast("long").alias("n")), "key", size=F.col("n")).withColumnRenamed("_place", "start")
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)
-    cut = placed.withColumn("sequence", F.explode(F.sequence(first, last)))
+    cut = start.withColumn("sequence", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("sequence") * length)
     end = F.least(F.col("start") + F.col("n"), (F.col("sequence") + 1) * length)
-    return cut.where((F.col("sequence") + 1) * length <= F.col("all")).select(F.col("key").alias(key), "sequence", (begin - F.col("sequence") * length).alias("at"), (end - begin).alias("n"))
+    return cut.where((F.col("sequence") + 1) * length <= F.col("_all")).select(F.col("key").alias(key), "sequence", (begin - F.col("sequence") * length).alias("at"), (end - begin).alias("n"))
 
 
 def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

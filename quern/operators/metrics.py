@@ -84,6 +84,15 @@ def entropy(df: DataFrame, by: str, digits: int = 6) -> DataFrame:
     return out.select(F.col("n").alias("classes"), F.round(F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, 1.0).otherwise(F.col("h") / F.log2("n")), digits).alias("entropy"))
 
 
+def spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """n, known, total, squares, mean, least, most of each group; nulls aren't known.
+
+    Sums are those of decimals of six places, so the order of addition doesn't matter; variance is squares / known - mean²."""
+    exact = F.col(value).cast("decimal(18,6)")
+    sums = df.groupBy(by).agg(F.count("*").alias("n"), F.count(value).alias("known"), F.sum(exact).cast("double").alias("total"), F.sum((exact * exact).cast("decimal(28,12)")).cast("double").alias("squares"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return sums.select(by, "n", "known", "total", "squares", F.try_divide("total", "known").alias("mean"), "least", "most")
+
+
 def length_stats(df: DataFrame, length: str, over: tuple[int, ...] = ()) -> DataFrame:
     """min, median (cut to an integer), max and p95 (the value at place 0.95 n of the sorted ones), and counts over
     thresholds.  p95 comes from counts by value, not from one sorted list."""

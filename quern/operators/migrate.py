@@ -118,6 +118,11 @@ def capped(value: Column, overlap: Column, cap: float = 0.35, at: float = 0.55)
     return F.when(overlap >= at, F.least(value, F.lit(cap))).otherwise(value)
 
 
+def answer_type(overlap: Column, at: float = 0.45) -> Column:
+    """Extractive where question and chunk share ``at`` of their words, else reasoning; null for null."""
+    return F.when(overlap >= at, "extractive").when(overlap < at, "reasoning")
+
+
 def upsert_value(pairs: DataFrame, key: str, value: str) -> DataFrame:
     """A table of key and value with one value set; ``old`` holds what it was."""
     one = pairs.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("_v"))

@@ -17,6 +17,18 @@ UVO = "uv as (select id, any_value(session) as session, any_value(source) as sou
 HUMAN = "hu as (select id, any_value(source) as source, any_value(question) as question, any_value(response_preview) as response, any_value(retrieval_hit) as retrieval_hit, any_value(cited_auto) as cited_auto, any_value(abstained) as abstained, any_value(score_useful) as score_useful, any_value(score_faithful) as score_faithful from human_eval_34q group by id)"
 
 
+#: A draw of 60 bits in SQL, as ``curate.draw`` makes it.
+DRAW = "('0x' || substr(md5('42|' || {}), 1, 15))::bigint"
+#: The title of a table in SQL, as ``text.title_before_colon`` cuts it.
+TITLE = "case when coalesce(summary_text, '') = '' then 'Tableau' when strpos(summary_text, ':') between 2 and 81 then trim(substr(summary_text, 1, strpos(summary_text, ':') - 1)) when length(summary_text) <= 80 then trim(summary_text) else trim(case when regexp_extract(substr(summary_text, 1, 80), '^(.*)\\s', 1) = '' then substr(summary_text, 1, 80) else regexp_extract(substr(summary_text, 1, 80), '^(.*)\\s', 1) end) end"
+
+
+def _repaired_sql(c: str) -> str:
+    for bad, good in stem.MOJIBAKE.items():
+        c = f"replace({c}, '{bad}', '{good}')"
+    return c
+
+
 def uvo(t: Tables):
     return t.jun2023_uvo.dropDuplicates(["id"])
 
@@ -154,9 +166,9 @@ def entropy(t):
     return metrics.entropy(t.documents, "lang")
 
 
-@query(f"with {UVO} select session, count(*) as n, round(avg(rate), 4) as mean, round(stddev_pop(rate), 4) as deviation, min(rate) as least, max(rate) as most from uv group by session")
+@query(f"with {UVO}, d as (select session, rate, rate::decimal(18,6) as r from uv), s as (select session, count(*) as n, count(rate) as known, sum(r)::double as total, sum((r * r)::decimal(38,12))::double as squares, min(rate) as least, max(rate) as most from d group by session) select session, n, known, total, squares, total / nullif(known, 0) as mean, least, most from s")
 def distribution(t):
-    return uvo(t).groupBy("session").agg(F.count("*").alias("n"), F.round(F.avg("rate"), 4).alias("mean"), F.round(F.stddev_pop("rate"), 4).alias("deviation"), F.min("rate").alias("least"), F.max("rate").alias("most"))
+    return metrics.spread(uvo(t), "session", "rate")
 
 
 @query("with s as (select n_chars as v, row_number() over (order by n_chars) - 1 as k, count(*) over () as n from documents where n_chars is not null) select max(n) as n, min(v) as least, floor((max(case when k = (n - 1) // 2 then v end) + max(case when k = n // 2 then v end)) / 2)::bigint as median, max(v) as most, max(case when k = floor(n * 0.95) then v end) as p95, count(*) filter (where v > 1000) as over_1000, count(*) filter (where v > 10000) as over_10000 from s")
@@ -232,29 +244,30 @@ def quotas(t):
     return curate.quotas(strata, 500, {"rules": 0.5, "annexes": 0.3, "other": 0.2})
 
 
-@query()
+@query(f"with {HUMAN}, l as (select id, source, {DRAW.format('id')} as x, count(*) over (partition by source) as c, count(*) over () as total from hu), r as (select *, row_number() over (partition by source order by x, id) as n from l), k as (select * from r where n <= greatest(1, floor(200 * c / total))) select id, source from k order by n, x, id limit 200")
 def stratified_sample(t):
+    """A sample of 200 answers, each model with its share: the feature is the limit."""
     return curate.stratified(human(t), "source", "id", 200).select("id", "source")
 
 
-@query("select case when rn <= floor(n * 0.8) then 'train' else 'val' end as part, count(*) as n from (select row_number() over (order by doc_id) as rn, count(*) over () as n from documents) group by 1")
+@query("select doc_id, case when row_number() over (order by " + DRAW.format("doc_id") + ", doc_id) <= floor(count(*) over () * 0.8) then 'train' else 'val' end as part from documents")
 def split_train_val(t):
-    """Exact sizes; which rows is a matter of lots."""
-    return curate.split(t.documents.select("doc_id"), "doc_id").groupBy("part").agg(F.count("*").alias("n"))
+    """Exact sizes, drawn by lot."""
+    return curate.split(t.documents.select("doc_id"), "doc_id")
 
 
-@query()
+@query(f"with {HUMAN}, l as (select id, {DRAW.format('id')} / 1152921504606846976.0 as x from hu) select id, case when x < 0.8 then 'oracle' when x < 0.95 then 'abstain' else 'memorize' end as mode from l")
 def answer_modes(t):
     """Each question's mode, drawn in shares of 80, 15 and 5 %."""
     return human(t).select("id", curate.modes(F.col("id"), {"oracle": 0.8, "abstain": 0.15, "memorize": 0.05}).alias("mode"))
 
 
-@query()
+@query(f"with {CHILDREN}, {QUESTIONS}, ring as (select id as doc_id, source, page, row_number() over (order by {DRAW.format('id')}, id) - 1 as place, count(*) over () as size from ch), q as (select query_id, source, page, {DRAW.format('query_id')} as x from qs join ch on ch.id = qs.chunk_id), m as (select query_id, doc_id, (place - x % size + size) % size as step from q, ring where ring.source is distinct from q.source or coalesce(abs(ring.page - q.page) > 2, true)) select query_id, doc_id, row_number() over (partition by query_id order by step) as draw from m qualify draw <= 2")
 def random_negatives(t):
     """For each held-out question two passages off its page."""
     c = children(t).select(F.col("id").alias("doc_id"), "source", "page")
     q = asked(t).join(c, F.col("chunk_id") == F.col("doc_id")).select("query_id", "source", "page")
-    return curate.negatives(q, c, 2, page_gap=2)
+    return curate.negatives(q, c, 2, page_gap=2, checkpoint=checkpoint)
 
 
 @query()
@@ -267,19 +280,19 @@ def review_batches(t):
     return curate.batches(human(t).select("id"), "id")
 
 
-@query("with o as (select doc_id as key, n_chars + 1 as n, sum(n_chars + 1) over () as total from documents) select (total // 2048)::bigint as sequences, ((total // 2048) * 2048)::bigint as units from o limit 1")
+@query("with o as (select doc_id, n_chars + 1 as n, " + DRAW.format("doc_id") + " as x from documents), p as (select doc_id, n, coalesce(sum(n) over (order by x, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as b, sum(n) over () as total from o), c as (select doc_id, n, b, total, unnest(range((b // 2048)::bigint, ((b + n - 1) // 2048)::bigint + 1)) as sequence from p) select doc_id, sequence, (greatest(b, sequence * 2048) - sequence * 2048)::bigint as at, (least(b + n, (sequence + 1) * 2048) - greatest(b, sequence * 2048))::bigint as n from c where (sequence + 1) * 2048 <= total")
 def fixed_length(t):
     """Texts laid end to end and cut every 2,048 characters: all sequences are full."""
-    packed = curate.fixed_length(t.documents, "doc_id", "n_chars", 2048)
-    return packed.agg(F.count_distinct("sequence").alias("sequences"), F.sum("n").alias("units"))
+    return curate.fixed_length(t.documents, "doc_id", "n_chars", 2048)
 
 
 # -- text
 
-@query("select id, trim(regexp_replace(translate(lower(question), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\s+', ' ', 'g')) as key, regexp_replace(regexp_replace(question, '\\.{3,}', '', 'g'), '\\s{2,}', ' ', 'g') as line from (select distinct id, question from human_eval_34q)")
+@query("select id, trim(regexp_replace(translate(lower(question), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\s+', ' ', 'g')) as key, " + _repaired_sql("trim(regexp_replace(regexp_replace(nfc_normalize(question), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))") + " as clean from (select distinct id, question from human_eval_34q)")
 def normalised(t):
+    """Keys for comparison, and questions in normal form with mojibake undone."""
     q = t.human_eval_34q.select("id", "question").distinct()
-    return q.select("id", T.match_key(F.col("question")).alias("key"), F.regexp_replace(F.regexp_replace("question", r"\.{3,}", ""), r"\s{2,}", " ").alias("line"))
+    return q.select("id", T.match_key(F.col("question")).alias("key"), stem.repair(stem.normalize(F.col("question"), "NFC")).alias("clean"))
 
 
 @query(f"with {CHILDREN}, w as (select id, unnest(list_filter({words_sql('text')}, lambda w: length(w) >= 5)) as word, generate_subscripts(list_filter({words_sql('text')}, lambda w: length(w) >= 5), 1) as pos from ch), c as (select id, word, count(*) as c, min(pos) as first from w group by all) select id as doc_id, word, c as count, row_number() over (partition by id order by c desc, first) as rank from c qualify rank <= 8")
@@ -384,23 +397,15 @@ def repeated_headings(t):
     return tables.strip_repeated_headings(t.documents.where("text is not null"), "doc_id", "text")
 
 
-@query(CELLS + " select id, row_idx, string_agg(col_name || ' est ' || cell_value, ', ' order by col_idx) as said from ce group by id, row_idx")
+@query(CELLS + f", sa as (select id, row_idx, string_agg(col_name || ' est ' || cell_value, ', ' order by col_idx) as said from ce group by id, row_idx) select sa.id, row_idx, {TITLE} || ' : ' || said as text from sa join ts using (id)")
 def narrated_rows(t):
-    """Rows as sentences."""
-    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "col_name", "cell_value"))), lambda x: F.concat_ws(" est ", x["col_name"], x["cell_value"])), ", ")
-    return cells_of(t).groupBy("id", "row_idx").agg(said.alias("said"))
+    """Rows as sentences under the title of their table."""
+    return tables.narrated(summaries(t))
 
 
-@query(CELLS + ", k as (select distinct id, row_idx from rw) select id || '-r' || lpad(row_idx::varchar, 3, '0') as id, id as table_id from k")
+@query(CELLS + f" select rw.id || '-r' || lpad(row_idx::varchar, 3, '0') as id, rw.id as table_id, {TITLE} || chr(10) || '| ' || array_to_string(list_transform(h[2:len(h)-1], lambda x: trim(x)), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(string_split(r, '|')[2:len(string_split(r, '|'))-1], lambda x: trim(x)), ' | ') || ' |' as text from rw join ts using (id)")
 def row_chunks(t):
-    return tables.row_chunks(summaries(t)).select("id", "table_id")
-
-
-@query(f"with {HUMAN}, {CHILDREN} select id, 'Extrait' as kind from ch where regexp_matches(text, '(?i)\\bcependant\\b|\\ben cas de\\b')")
-def connectors(t):
-    """Passages with a connector of opposition or condition."""
-    c = children(t).select("id", "text")
-    return c.where(F.col("text").rlike(r"(?i)\bcependant\b|\ben cas de\b")).select("id", F.lit("Extrait").alias("kind"))
+    return tables.row_chunks(summaries(t))
 
 
 #: French connectors by kind.
@@ -462,16 +467,16 @@ def filled_pages(t):
 def _triplets(t: Tables):
     c = children(t).select(F.col("id").alias("doc_id"), F.col("text").alias("positive"), F.col("section").alias("title"))
     q = asked(t).join(c, F.col("chunk_id") == F.col("doc_id"))
-    return q.select(F.row_number().over(Window.orderBy("query_id")).alias("pos"), "query_id", F.col("text").alias("anchor"), "doc_id", "title", "positive")
+    return q.select(F.col("query_id").alias("pos"), "query_id", F.col("text").alias("anchor"), "doc_id", "title", "positive")
 
 
-@query(f"with {CHILDREN}, {QUESTIONS} select 'corpus' as part, ch.id, coalesce(section, '') as title from (select distinct chunk_id from qs) x join ch on ch.id = x.chunk_id union all select 'queries', query_id, '' from qs join ch on ch.id = qs.chunk_id union all select 'qrels', query_id, ch.id from qs join ch on ch.id = qs.chunk_id")
+@query(f"with {CHILDREN}, {QUESTIONS} select 'corpus' as part, ch.id, coalesce(section, '') as title, ch.text from (select distinct chunk_id from qs) x join ch on ch.id = x.chunk_id union all select 'queries', query_id, '', qs.text from qs join ch on ch.id = qs.chunk_id union all select 'qrels', query_id, ch.id, '' from qs join ch on ch.id = qs.chunk_id")
 def export_beir(t):
     """Corpus, queries and judgements in one long table."""
     files = exports.beir(_triplets(t))
-    corpus = files["corpus"].select(F.lit("corpus").alias("part"), F.col("_id").alias("id"), "title")
-    queries = files["queries"].select(F.lit("queries").alias("part"), F.col("_id").alias("id"), F.lit("").alias("title"))
-    qrels = files["qrels"].select(F.lit("qrels").alias("part"), F.col("query-id").alias("id"), F.col("corpus-id").alias("title"))
+    corpus = files["corpus"].select(F.lit("corpus").alias("part"), F.col("_id").alias("id"), "title", "text")
+    queries = files["queries"].select(F.lit("queries").alias("part"), F.col("_id").alias("id"), F.lit("").alias("title"), "text")
+    qrels = files["qrels"].select(F.lit("qrels").alias("part"), F.col("query-id").alias("id"), F.col("corpus-id").alias("title"), F.lit("").alias("text"))
     return corpus.unionByName(queries).unionByName(qrels)
 
 

@@ -26,9 +26,12 @@ def store(tables: dict[str, DataFrame], folder: str) -> None:
         write(df, f"{folder}/{name}", "parquet", by=("col_name",) if name == "structured_cells" else ())
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` over ``old`` by key; of several new rows with a key one is kept."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upserted(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of their keys.
+
+    Of several new rows with a key the first by ``order`` stays; without an order they must have distinct keys."""
+    rows = _ordered(new, key, *order) if order else new
+    return old.join(rows.select(key), key, "left_anti").unionByName(rows.select(*old.columns))
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -91,8 +94,10 @@ def report(metrics: DataFrame, path: str) -> None:
 
 
 def markdown(metrics: DataFrame, title: str, key: str = "recall_5", good: float = 0.8, fair: float = 0.6) -> str:
-    """A Markdown report of a few metric rows with a decision on the first."""
-    rows = [r.asDict() for r in metrics.limit(1000).collect()]
+    """A Markdown report of a few metric rows (checked: at most 10,000) with a decision on the first."""
+    rows = [r.asDict() for r in metrics.limit(10_001).collect()]
+    if len(rows) > 10_000:
+        raise ValueError("a report holds at most 10,000 rows")
     if not rows:
         return f"---\ntitle: {title}\nrows: 0\n---\n"
     head = list(rows[0])

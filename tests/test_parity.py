@@ -6,7 +6,7 @@ import duckdb
 import parity
 import pytest
 
-from quern.plans import data_queries, registry, search_queries  # noqa: F401
+from quern.plans import data_queries, link_queries, registry, search_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
