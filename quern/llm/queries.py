@@ -105,7 +105,7 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """container, doc_id, part, first_token, n_tokens: every non-empty document in containers of 2,048 tokens."""
     ship(spark)
-    return packing.pack(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text", checkpoint=checkpoint).drop("nearness")
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,13 +114,25 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count("*") * F.lit(packing.CAPACITY)), 6).alias("used"))
 
 
+def p7_nearness(spark: SparkSession, folder: str) -> DataFrame:
+    """How near items are to the seed of their container, as a share of its BM25 score for itself: by content, and with
+    items sharded by chance and all else equal."""
+    ship(spark)
+    out = None
+    for name, by_content in (("content", True), ("chance", False)):
+        boxes = packing.pack(table(spark, folder, "documents"), "doc_id", "text", checkpoint=checkpoint, by_content=by_content)
+        row = boxes.agg(F.lit(name).alias("shards"), F.count("nearness").alias("items"), F.round(F.avg("nearness"), 4).alias("nearness"), F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id of the documents of which more than half is spam."""
     ship(spark)
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", checkpoint).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p4_neighbours, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p4_neighbours, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p7_nearness, p8_found)}
 
 #: The words of a text in SQL, and its runs of 13 of them.
 _WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(regexp_replace(text, '([\p{L}\p{N}\p{M}])[-\x{2010}\x{AD}][\t\v\f\p{Zs}]*(?:\r\n|\n|\r|\x{2028})[\t\v\f\p{Zs}]*([\p{L}\p{N}])', '\1\2', 'g'))), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
