@@ -5,8 +5,8 @@ of the token in the whole corpus), and in large shards the second one too.  Toke
 counts ask for, rare ones share a shard, and a pair of tokens that very many items share, copies above all, is spread by
 the items' keys; so shards are of about ``SHARD_ITEMS`` items whatever the data.
 
-Each shard holds an inverted index with BM25 weights of the whole corpus; tokens that most items have weigh nothing and
-are left out.  The largest unused item seeds a container; the index returns its nearest unused neighbours, which fill the
+Each shard holds an inverted index with BM25 weights of the whole corpus; tokens that one item in eight has weigh nothing
+and are left out.  The largest unused item seeds a container; the index returns its nearest unused neighbours, which fill the
 window one by one, nearest first, until a quarter of it is left; of the nearest that fit there, those that fill it best are
 taken (a subset sum over the free space, kept as the bits of an integer).  An item is only split if it exceeds the
 capacity: full containers first, its rest is an item like others, with the tokens of the rest.  Each shard leaves about one
@@ -31,6 +31,8 @@ CAPACITY = 2048
 SHARD_ITEMS, NEIGHBOURS = 4096, 64
 #: Part of the capacity below which the space that is left is filled as well as possible.
 LAST_PART = 0.25
+#: Terms that such a share of the corpus's items has tell nothing about an item.
+COMMON = 0.125
 K1, B = 1.2, 0.75
 
 
@@ -53,10 +55,16 @@ class Index:
         order = order[idf[term[order]] > 0]
         self.vocabulary, self.first = np.unique(term[order], return_index=True)
         self.first = np.concatenate([self.first, [len(order)]])
-        self.item = item[order]
+        self.item = item[order].astype(np.int32)
         self.weight = idf[term[order]] * tf[order] * (K1 + 1) / (tf[order] + K1 * (1 - B + B * length[self.item] / max(mean, 1e-9)))
         self.terms, self.n = terms, n
 
+    def keep(self, items: np.ndarray) -> None:
+        """Leaves out the postings of all other items."""
+        held = items[self.item]
+        self.first = np.concatenate([[0], np.cumsum(held)])[self.first]
+        self.item, self.weight = self.item[held], self.weight[held]
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every item for the seed's terms."""
         at = np.searchsorted(self.vocabulary, self.terms[seed])
@@ -64,13 +72,14 @@ class Index:
         at = at[np.isin(self.vocabulary[at], self.terms[seed])]
         if not len(at):
             return np.zeros(self.n)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in at]
-        return np.bincount(np.concatenate([self.item[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        begin, size = self.first[at], self.first[at + 1] - self.first[at]
+        spread = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.item[spread], weights=self.weight[spread], minlength=self.n)
 
 
 def rarity(df: np.ndarray, n: int) -> np.ndarray:
-    """The weight of terms that ``df`` of ``n`` items have; 0 for those that half of them have."""
-    return np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
+    """The weight of terms that ``df`` of ``n`` items have: it falls to 0 for those that a share COMMON of them has."""
+    return np.maximum(np.log((n - df + 0.5) / (df + 0.5)) - np.log(1 / COMMON - 1), 0)
 
 
 def best_fill(sizes: list[int], space: int) -> list[int]:
@@ -96,11 +105,15 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> tuple[list[list[int]
     order = np.argsort(-sizes, kind="stable")
     unused = np.ones(len(sizes), dtype=bool)
     nearness = np.full(len(sizes), np.nan)
-    left = len(sizes)
+    left = indexed = len(sizes)
     out = []
     for seed in order:
         if not unused[seed]:
             continue
+        if 3 * left < 2 * indexed:
+            # used items would be scored for nothing
+            index.keep(unused)
+            indexed = left
         unused[seed] = False
         box, space = [int(seed)], capacity - int(sizes[seed])
         left -= 1
@@ -194,8 +207,11 @@ def _topics(idf):
                 if t:
                     term = np.frombuffer(t, dtype=np.int32)
                     w = np.sqrt(np.frombuffer(c, dtype=np.int32)) * weight[term]
-                    first = np.lexsort((term, -w))[:2]
-                    found[n, : len(first)] = term[first]
+                    first = w.argmax()
+                    found[n, 0] = term[first]
+                    if len(term) > 1:
+                        w[first] = -1
+                        found[n, 1] = term[w.argmax()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*batch.schema.names, "topic", "second"])
 
     return run
