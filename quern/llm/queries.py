@@ -93,13 +93,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, ids and the character at which each token starts."""
+    ship(spark)
+    return tokens.encode(table(spark, folder, "documents"), "doc_id", "text", offsets=True)
+
+
 def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, number of ids, and whether the decoded ids equal the text (null as empty)."""
-    ids = p6_ids(spark, folder)
-    texts = tokens.decode(ids, "doc_id", "ids")
-    documents = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("given"))
-    joined = ids.select("doc_id", F.size("ids").alias("n_ids")).join(texts, "doc_id").join(documents, "doc_id")
-    return joined.select("doc_id", "n_ids", (F.col("text") == F.col("given")).alias("same"))
+    ship(spark)
+    return tokens.round_trip(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +135,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", checkpoint).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p4_neighbours, p5_found, p5_items_leaked, p6_ids, p6_decoded, p7_containers, p7_fill, p7_nearness, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_signs, p2_found, p2_pieces, p3_found, p4_found, p4_neighbours, p5_found, p5_items_leaked, p6_ids, p6_offsets, p6_decoded, p7_containers, p7_fill, p7_nearness, p8_found)}
 
 #: The words of a text in SQL, and its runs of 13 of them.
 _WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(regexp_replace(text, '([\p{L}\p{N}\p{M}])[-\x{2010}\x{AD}][\t\v\f\p{Zs}]*(?:\r\n|\n|\r|\x{2028})[\t\v\f\p{Zs}]*([\p{L}\p{N}])', '\1\2', 'g'))), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

@@ -201,3 +201,21 @@ def decode(df: DataFrame, key: str, ids: str, tokenizer: str | None = None) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pc.is_valid(column), text, pa.scalar(None, pa.string()))], names=["key", "text"])
 
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
+def round_trip(df: DataFrame, key: str, text: str, tokenizer: str | None = None) -> DataFrame:
+    """key, n_ids, same: whether decoding a text's ids gives the text again; null and empty texts have no ids and do."""
+    path = tokenizer_path(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids = enc.encode(part.column(1))
+                given = pc.fill_null(part.column(1), "")
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.list_value_length(ids), pc.equal(decode_batch(ids, path), given)], names=["key", "n_ids", "same"])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_ids int, same boolean")
+    return out.withColumnRenamed("key", key)
