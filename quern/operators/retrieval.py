@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
@@ -135,8 +134,10 @@ def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, k
     return words.mapInArrow(score, f"query_id {kind}, doc_id {words.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of arrays of one length."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 20, block: int = 65_536, digits: int | None = 6, cosine: bool = False, exclude_self: bool = False) -> DataFrame:
@@ -153,16 +154,16 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 20, block: int = 6
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": q["query_id"].iloc[:0], "doc_id": d["doc_id"].iloc[:0], "score": pd.Series([], dtype="float64")})
-        if not len(q) or not len(d):
-            return empty
-        d = d.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    def best(q: pa.Table, d: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": q["query_id"].slice(0, 0), "doc_id": d["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        if not q.num_rows or not d.num_rows:
+            return none
+        d = d.sort_by("doc_id")
         x, y = _vectors(q["q_vector"]), _vectors(d["d_vector"])
         if cosine:
             x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
-        qid, did = q["query_id"].to_numpy(), d["doc_id"].to_numpy()
-        out = []
+        qid, did = q["query_id"].to_pandas().to_numpy(), d["doc_id"].to_pandas().to_numpy()
+        rows, cols, scores = [], [], []
         for at in range(0, len(x), 1024):
             s = x[at : at + 1024] @ y.T
             if digits is not None:
@@ -171,14 +172,18 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 20, block: int = 6
                 s[qid[at : at + 1024, None] == did[None, :]] = -np.inf
             top = min(k, s.shape[1])
             kth = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-            i, j = np.nonzero(s >= kth[:, None])
-            keep = s[i, j] > -np.inf
-            out.append(pd.DataFrame({"query_id": qid[at + i[keep]], "doc_id": did[j[keep]], "score": s[i[keep], j[keep]]}))
-        found = pd.concat(out).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
-        return found.groupby("query_id", sort=False).head(k)
+            i, j = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
+            # ties with the k-th best in the order of ids, up to k
+            order = np.lexsort((j, -s[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            rows.append(at + i[keep])
+            cols.append(j[keep])
+            scores.append(s[i[keep], j[keep]])
+        return pa.table({"query_id": q["query_id"].take(pa.array(np.concatenate(rows))), "doc_id": d["doc_id"].take(pa.array(np.concatenate(cols))), "score": pa.array(np.concatenate(scores))})
 
     schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"
-    partial = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(best, schema)
+    partial = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(best, schema)
     return ranked(partial, k, channel="cosine")
 
 
