@@ -132,7 +132,8 @@ def quotas(strata: DataFrame, total: int, shares: Mapping[str, float], least: in
 
 def round_robin(df: DataFrame, stratum: str, group: str, order: list[Column], quota: int) -> DataFrame:
     """From each stratum ``quota`` rows, one of each group in turn."""
-    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum, group).orderBy(*order)))
+    # more than ``quota`` of one group are never picked, so both ranks are cut before they are shuffled
+    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum, group).orderBy(*order))).where(F.col("turn") <= quota)
     return turn.withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy("turn", group))).where(F.col("pick") <= quota)
 
 

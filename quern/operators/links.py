@@ -8,29 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import retrieval
 
 
 def by_pages(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates: chunks on a page of the question whose source contains the question's source name.
 
-    ``questions``: query_id, source_part, pages; ``chunks``: doc_id, source, page.  Pages meet in an equi-join; the
-    containment of names is left to its residual."""
+    ``questions``: query_id, source_part, pages; ``chunks``: doc_id, source, page.  Names meet first, each once, on three
+    letters in a row that both have; then questions meet the chunks of their sources' pages.  A name of fewer than three
+    letters meets on what it has."""
     wanted = questions.select("query_id", T.fold(F.col("source_part")).alias("part"), F.explode(F.array_distinct("pages")).alias("page"))
-    return wanted.join(chunks, "page").where(F.contains(T.fold(F.col("source")), F.col("part"))).select("query_id", "doc_id").distinct()
+    names = chunks.select("source").where("source is not null").distinct().withColumn("folded", T.fold(F.col("source")))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("folded")), lambda k: F.substring(F.col("folded"), k, F.lit(n)))
+    heads = names.select("source", "folded", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in (1, 2, 3)), F.array(F.lit(""))))).alias("head"))
+    parts = wanted.select("part").distinct().withColumn("head", F.substring("part", 1, 3))
+    met = parts.join(heads, "head").where(F.contains("folded", "part")).select("part", "source").distinct()
+    return wanted.join(met, "part").join(chunks.select("doc_id", "source", "page"), ["source", "page"]).select("query_id", "doc_id").distinct()
 
 
 def by_words(questions: DataFrame, chunks: DataFrame, least: float = 0.2, k: int = 5, digits: int = 6) -> DataFrame:
     """The k chunks that hold most of a question's words (at least a share ``least``).
 
-    ``questions``: query_id, words (array); ``chunks``: doc_id, text.  An inverted equi-join on words: only words that
-    some question has leave the chunks' stage."""
-    asked = questions.select("query_id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
-    each = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    known = chunks.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).join(each.select("word").distinct(), "word", "left_semi")
-    found = each.join(known, "word").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("score"))
-    scored = found.withColumn("score", F.round("score", digits)).where(F.col("score") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ``questions``: query_id, words (array); ``chunks``: doc_id, text.  Questions go to the chunks in bounded slices, so
+    words that every chunk has make no large join."""
+    asked = questions.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
+    words = chunks.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    return retrieval.word_shares(asked, words, k, digits).where(F.col("score") >= least).select("query_id", "doc_id", "score", "rank")
 
 
 def by_article(questions: DataFrame, chunks: DataFrame) -> DataFrame:

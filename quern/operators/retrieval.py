@@ -82,8 +82,26 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, digits: int | None =
     return ranked(scored, k, channel="bm25")
 
 
-def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, kind: str) -> DataFrame | None:
-    """Scores of the documents for the queries of ``pairs``: query_id, term, idf, mean."""
+def word_shares(asked: DataFrame, words: DataFrame, k: int, digits: int | None = 6, slice_pairs: int = SLICE_PAIRS) -> DataFrame:
+    """The k documents that hold the largest share of a query's words: query_id, doc_id, score, rank.
+
+    ``asked``: query_id, term, distinct; ``words``: doc_id, words.  The plan is that of ``bm25``."""
+    slices = max(1, -(-asked.count() // slice_pairs))
+    pairs = asked.select("query_id", "term", F.lit(1.0).alias("idf"), F.lit(0.0).alias("mean"))
+    kind, scored = asked.schema["query_id"].dataType.simpleString(), None
+    for n in range(slices):
+        part = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == n) if slices > 1 else pairs
+        hits = _bm25_slice(part.toArrow(), words, k, digits, kind, share=True)
+        if hits is not None:
+            scored = hits if scored is None else scored.unionByName(hits)
+    if scored is None:
+        scored = asked.sparkSession.createDataFrame([], f"query_id {kind}, doc_id {words.schema['doc_id'].dataType.simpleString()}, score double")
+    return ranked(scored, k)
+
+
+def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, kind: str, share: bool = False) -> DataFrame | None:
+    """Scores of the documents for the queries of ``pairs``: query_id, term, idf, mean.  ``share``: the score is the share
+    of the query's words that a document has."""
     if not pairs.num_rows:
         return None
     ids = pairs["query_id"].combine_chunks().dictionary_encode()
@@ -94,10 +112,11 @@ def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, k
     idf = np.zeros(len(terms.dictionary))
     idf[term] = pairs["idf"].to_numpy()
     place = {t: n for n, t in enumerate(terms.dictionary.to_pylist())}
-    shared = words.sparkSession.sparkContext.broadcast((place, idf, first, query[order].astype(np.int32), ids.dictionary, float(pairs["mean"][0].as_py() or 0)))
+    asked = np.bincount(query, minlength=len(ids.dictionary))
+    shared = words.sparkSession.sparkContext.broadcast((place, idf, first, query[order].astype(np.int32), ids.dictionary, float(pairs["mean"][0].as_py() or 0), asked))
 
     def score(batches):
-        place, idf, first, of_term, ids, mean = shared.value
+        place, idf, first, of_term, ids, mean, asked = shared.value
         queries, degree = len(ids), np.diff(first)
         step = max(16, (2 << 20) // max(1, queries))
         for batch in batches:
@@ -113,7 +132,7 @@ def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, k
                 cell, tf = np.unique(row[keep] * len(place) + found[keep], return_counts=True)
                 row, found = np.divmod(cell, len(place))
                 norm = K1 * (1 - B + B * length[row] / mean) if mean else 1.0
-                weight = idf[found] * tf * (K1 + 1) / (tf + norm)
+                weight = np.ones(len(found)) if share else idf[found] * tf * (K1 + 1) / (tf + norm)
                 # each word of a document meets the queries that hold it
                 many = degree[found]
                 spread = np.repeat(first[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -122,6 +141,8 @@ def _bm25_slice(pairs: pa.Table, words: DataFrame, k: int, digits: int | None, k
                 hit = np.zeros(n * queries, dtype=bool)
                 hit[target] = True
                 hit = hit.reshape(n, queries)
+                if share:
+                    s /= asked
                 if digits is not None:
                     s = np.round(s, digits)
                 s[~hit] = -np.inf

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,14 +78,42 @@ def strip_repeated_headings(docs: DataFrame, key: str, text: str, least: int = 3
     return kept.groupBy(key).agg(joined.alias("text"))
 
 
-def carry_pages(lines: DataFrame, by: str, order: str, page: str) -> DataFrame:
-    """``carried``: the last page known at or before each line, else the least of its document."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("carried", F.coalesce(F.last(page, ignorenulls=True).over(w), F.min(page).over(Window.partitionBy(by))))
+def _in_chunks(df: DataFrame, by: str | None, order: str, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the ``_chunk`` they lie in: consecutive ranges of (by, order), whose number only grows with the order.
 
+    A group of any size is so spread over many chunks; they are written down, as a second run may cut elsewhere."""
+    keys = [order] if by is None else [by, order]
+    return checkpoint(df.repartitionByRange(*keys).withColumn("_chunk", F.spark_partition_id()).withColumn("_by", F.lit("") if by is None else F.col(by)))
 
-def sequences(df: DataFrame, order: str, number: str, by: str | None = None) -> DataFrame:
-    """``sequence``: a new one starts whenever the number is 1 again (and isn't the first row)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(order)
-    fresh = (F.col(number) == 1) & F.lag(order).over(w).isNotNull()
-    return df.withColumn("_f", F.coalesce(fresh.cast("int"), F.lit(0))).withColumn("sequence", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+
+def _join_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunks``: _by, _chunk and more; at most one row for each partition and group."""
+    c = chunks.select(F.col("_by").alias("_c_by"), F.col("_chunk").alias("_c"), *[x for x in chunks.columns if x not in ("_by", "_chunk")])
+    return rows.join(c, rows["_by"].eqNullSafe(F.col("_c_by")) & (rows["_chunk"] == F.col("_c")), "left").drop("_c_by", "_c")
+
+
+def carry_pages(lines: DataFrame, by: str, order: str, page: str, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``carried``: the last page known at or before each line, else the least of its document.
+
+    Each chunk of lines carries its own pages on, and starts with what the chunks before it end with."""
+    cut = _in_chunks(lines, by, order, checkpoint)
+    ends = cut.groupBy("_by", "_chunk").agg(F.max_by(page, F.when(F.col(page).isNotNull(), F.col(order))).alias("_end"), F.min(page).alias("_least"))
+    before = Window.partitionBy("_by").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_by", "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_start"), F.min("_least").over(Window.partitionBy("_by")).alias("_least"))
+    within = Window.partitionBy("_by", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("carried", F.last(page, ignorenulls=True).over(within))
+    return _join_chunks(own, ends).withColumn("carried", F.coalesce("carried", "_start", "_least")).drop("_by", "_chunk", "_start", "_least")
+
+
+def sequences(df: DataFrame, order: str, number: str, by: str | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``sequence``: a new one starts whenever the number is 1 again (and isn't the first row).
+
+    The first sequence is 0; chunks count their own starts, and what the chunks before them counted."""
+    cut = _in_chunks(df, by, order, checkpoint).withColumn("_one", F.coalesce((F.col(number) == 1).cast("int"), F.lit(0)))
+    counts = cut.groupBy("_by", "_chunk").agg(F.sum("_one").alias("_ones"), F.min_by("_one", order).alias("_first"))
+    whole = Window.partitionBy("_by").orderBy("_chunk")
+    counts = counts.select("_by", "_chunk", F.coalesce(F.sum("_ones").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.first("_first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_lead"))
+    within = Window.partitionBy("_by", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("_ones", F.sum("_one").over(within))
+    # a one in the very first row starts nothing anew
+    return _join_chunks(own, counts).withColumn("sequence", F.col("_before") + F.col("_ones") - F.col("_lead")).drop("_by", "_chunk", "_one", "_ones", "_before", "_lead")

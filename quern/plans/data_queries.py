@@ -227,7 +227,7 @@ def sequences(t):
     """Runs of a user's events; a new one starts after each purchase."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.withColumn("k", F.row_number().over(w)).withColumn("num", F.when(F.lag(F.col("event_type") == "purchase").over(w), 1).otherwise(2))
-    return tables.sequences(e, "k", "num", "user_id").groupBy("user_id", "sequence").agg(F.count("*").alias("n"))
+    return tables.sequences(e, "k", "num", "user_id", checkpoint).groupBy("user_id", "sequence").agg(F.count("*").alias("n"))
 
 
 @query(f"with {CHILDREN}, r as (select id, source, coalesce(page, -1) as page, row_number() over (partition by source, coalesce(page, -1) order by id) as turn from ch), p as (select *, row_number() over (partition by source order by turn, page) as pick from r) select source, id, pick from p where pick <= 20")
