@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, curate, gates, links, migrate
+from ..operators import chunking, curate, exams, gates, links, migrate, tables
 from ..session import checkpoint
 from ..sources import exports
 from .data_queries import DRAW, HUMAN, UVO, human, uvo
@@ -227,3 +227,31 @@ def aligned_vectors(t):
     c = children(t).where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("v"))
     p = parents(t).select("id").join(c, F.col("id") == F.col("parent_id"), "left")
     return p.select("id", F.coalesce("n", F.lit(0)).alias("children"), F.coalesce("v", F.lit(0)).alias("vectors"))
+
+
+# -- exams
+
+def _keys(t: Tables):
+    """The exam items as one Markdown answer key for each session and paper."""
+    u = uvo(t).where("q is not null and ans is not null and session is not null and uv is not null")
+    rate = F.coalesce(F.concat(F.round(100 * F.col("rate")).cast("int").cast("string"), F.lit(" %")), F.lit("-"))
+    line = F.concat_ws(" | ", F.lit(""), F.col("q").cast("string"), F.regexp_replace("ans", r"[|\s]+", ""), F.concat(F.lit("article "), F.col("q").cast("string")), rate, F.lit(""))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", F.trim(line).alias("line")))), lambda x: x["line"])
+    text = F.concat(F.lit("| Question | Réponse | Articles de référence | Taux de réussite |\n|---|---|---|---|\n"), F.array_join(lines, "\n"))
+    return u.groupBy(F.concat_ws("/", "session", "uv").alias("id")).agg(text.alias("raw_table_text"))
+
+
+@query(f"with {UVO.replace('any_value(session) as session', 'any_value(session) as session, any_value(uv) as uv')}, k as (select session || '/' || uv as id, id as item, q as number, upper(regexp_replace(ans, '[|\\s]+', '', 'g')) as answer, 'article ' || q as reference, round(100 * rate)::int / 100 as rate from uv where q is not null and ans is not null and session is not null and uv is not null) select id, number, answer, reference, rate, round_even(1 - rate, 2) as difficulty from k qualify row_number() over (partition by id, number order by item desc) = 1")
+def answer_keys(t):
+    """Answer keys as tables, read again: numbers, letters, references and rates."""
+    return exams.answer_key(tables.rows(_keys(t)), last_wins=True)
+
+
+@query(f"with {UVO.replace('any_value(session) as session', 'any_value(session) as session, any_value(uv) as uv')}, k as (select session || '/' || uv as id, id as item, q as number, upper(trim(ans)) as letter from uv where q between 0 and 999 and session is not null and uv is not null and regexp_full_match(trim(ans), '[A-Fa-f]')) select id, number, letter from k qualify row_number() over (partition by id, number order by item) = 1")
+def answer_grids(t):
+    """The same as grids of two rows, numbers above letters."""
+    u = uvo(t).where("q between 0 and 999 and session is not null and uv is not null").where(F.trim("ans").rlike("^[A-Fa-f]$"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("id", "q", F.trim("ans").alias("ans")))), lambda x: x)
+    grids = u.groupBy(F.concat_ws("/", "session", "uv").alias("id")).agg(each.alias("e"))
+    text = F.concat(F.lit("| "), F.array_join(F.transform("e", lambda x: x["q"].cast("string")), " | "), F.lit(" |\n| "), F.array_join(F.transform("e", lambda x: x["ans"]), " | "), F.lit(" |"))
+    return exams.answer_grid(tables.rows(grids.select("id", text.alias("raw_table_text"))))

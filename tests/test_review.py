@@ -51,3 +51,22 @@ def test_tables_with_two_vectors(spark):
     parents, kids = review.multivector_tables(t, s)
     assert [r.text for r in parents.collect()] == ["| A | B |\n|---|---|\n| 1 |  |"] and kids.first().parent_id == "t"
     assert review.substantive(spark.createDataFrame([("## T", 60), ("Texte", 60), ("Texte", None), ("Chap ..... 3", 60)], "text string, tokens int")).count() == 1
+
+
+def test_answer_keys_grids_and_explanations(spark):
+    from quern.operators import exams, tables
+
+    key = "| UV1 | | | |\n|---|---|---|---|\n| Question | Réponse | Article | Taux |\n| 1 Roque | a | 3.8 | 84 % |\n| 2 | B | | - |\n| x | C | | 5 % |\n| 2 | D | 4.1 | 10 % |"
+    other = "| N | Corrigé |\n|---|---|\n| 1 | b |\n| 2 | |"
+    df = spark.createDataFrame([("k", key), ("o", other), ("n", None), ("e", "")], "id string, raw_table_text string")
+    rows = tables.rows(df)
+    got = sorted(tuple(r) for r in exams.answer_key(rows).where("id = 'k'").collect())
+    assert got == [("k", 1, "A", "3.8", 0.84, 0.16), ("k", 2, "B", "", None, None), ("k", 2, "D", "4.1", 0.1, 0.9)]
+    assert {r.answer for r in exams.answer_key(rows, last_wins=True).where("id = 'k' and number = 2").collect()} == {"D"}
+    assert [(r.number, r.answer) for r in exams.answer_key(rows, default_first=True).where("id = 'o'").collect()] == [(1, "B")]
+    grids = spark.createDataFrame([("pairs", "| 1 | A | 2 | b |\n|---|---|---|---|\n| 3 | C | 4 | Z |\n| 4 | D | 5 | |"), ("joined", "| 1 - A | 2) C |\n|---|---|\n| 3B | x |"), ("below", "| 1 | 2 |\n|---|---|\n| A | F |")], "id string, raw_table_text string")
+    found = {(r.id, r.number): r.letter for r in exams.answer_grid(tables.rows(grids)).collect()}
+    assert found == {("pairs", 1): "A", ("pairs", 2): "B", ("pairs", 3): "C", ("pairs", 4): "D", ("joined", 1): "A", ("joined", 2): "C", ("joined", 3): "B", ("below", 1): "A", ("below", 2): "F"}
+    text = "Question ?\nA - Oui\nB - Non\nLivre, article 3.8\nLe roi se déplace de deux cases vers la tour."
+    texts = spark.createDataFrame([(text,), ("A - Oui\narticle 1\n12 34",), ("A - Oui\nsans renvoi du tout, donc rien",), (None,), ("",)], "t string")
+    assert [r[0] for r in texts.select(exams.explanation(F.col("t"))).collect()] == ["Le roi se déplace de deux cases vers la tour.", None, None, None, None]
