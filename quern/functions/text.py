@@ -346,3 +346,20 @@ def weakness(question: Column, text: Column, names: Sequence[str] = ()) -> Colum
     absent = (F.size(words) >= 3) & (overlap(words, low) < 0.2)
     named = F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(low, n)) & F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(q, n)) if names else F.lit(False)
     return F.when(table, "table_numeric").when(named, "example_names").when(contains_any(question, VAGUE) & (F.length(q) < 50), "vague").when(absent, "hallucination").otherwise("ok")
+
+
+def by_range(c: Column, ranges: Sequence[tuple[int, int, str]], otherwise: Column | None = None) -> Column:
+    """The name of the first range (both ends included) that a number lies in, else ``otherwise``; for null too."""
+    return F.coalesce(*(F.when(c.between(low, high), name) for low, high, name in ranges), F.lit(None).cast("string") if otherwise is None else otherwise)
+
+
+def task_parts(c: Column) -> Column:
+    """``task`` and ``rest``: a text up to its first blank line, and what follows; no rest without a blank line."""
+    parts = F.split(c, "\n\n", 2)
+    return F.struct(F.trim(parts[0]).alias("task"), F.trim(F.get(parts, 1)).alias("rest"))
+
+
+def priority(c: Column, classes: Mapping[str, str], otherwise: str = "low") -> Column:
+    """A priority by class; ``otherwise`` for other classes and null."""
+    table = F.create_map(*(F.lit(x) for kv in classes.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, c), F.lit(otherwise))

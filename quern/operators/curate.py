@@ -206,6 +206,33 @@ def cloze_pairs(passages: DataFrame, mask: float = 0.9, seed: int = 42, least: i
     return drawn.select("doc_id", "query", F.when(lot(F.col("doc_id"), F.lit("mask"), seed=seed) < mask, masked).otherwise(F.col("text")).alias("passage"))
 
 
+def identical_pairs(passages: DataFrame, least: int = 20) -> DataFrame:
+    """doc_id, query, passage: each text of ``least`` characters with itself, as contrastive training by dropout wants it."""
+    said = F.trim("text")
+    return passages.where(F.length(said) >= least).select("doc_id", said.alias("query"), said.alias("passage"))
+
+
+def require_share(made: DataFrame, of: DataFrame, most_skipped: float = 0.3) -> DataFrame:
+    """``made``, unless more than a share of the rows of ``of`` gave none; an empty table skips nothing."""
+    total, kept = of.count(), made.count()
+    if total and (total - kept) / total > most_skipped:
+        raise ValueError(f"{total - kept} of {total} rows skipped, more than {most_skipped:.0%}")
+    return made
+
+
+def testable(questions: DataFrame, letter: str = "ans", history: str = "notes", word: str = "retiré") -> DataFrame:
+    """Questions with a letter A to F whose history doesn't tell that they were withdrawn."""
+    return questions.where(F.upper(F.trim(F.col(letter))).rlike("^[A-F]$") & ~F.contains(F.lower(F.coalesce(F.col(history), F.lit(""))), F.lit(word)))
+
+
+def by_origin(questions: DataFrame, prefixes: Sequence[str], source: str | None = None) -> DataFrame:
+    """Questions whose id begins with one of the prefixes or, with ``source``, whose source is known."""
+    starts = F.lit(False)
+    for p in prefixes:
+        starts = starts | F.startswith("id", F.lit(p))
+    return questions.where(starts | F.col(source).isNotNull() if source else starts)
+
+
 def batches(df: DataFrame, key: str, size: int = 40, most: int = 5) -> DataFrame:
     """Review batches in the order of the keys, which are distinct: slices of ``size``, the last of ``most`` takes the rest.
 

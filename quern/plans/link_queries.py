@@ -255,3 +255,36 @@ def answer_grids(t):
     grids = u.groupBy(F.concat_ws("/", "session", "uv").alias("id")).agg(each.alias("e"))
     text = F.concat(F.lit("| "), F.array_join(F.transform("e", lambda x: x["q"].cast("string")), " | "), F.lit(" |\n| "), F.array_join(F.transform("e", lambda x: x["ans"]), " | "), F.lit(" |"))
     return exams.answer_grid(tables.rows(grids.select("id", text.alias("raw_table_text"))))
+
+
+# -- subsets and small steps
+
+@query(f"with {CHILDREN} select id, case when source = 'LV01_Livret_arbitre_club.pdf' and page between 1 and 10 then 'first' when source = 'LV01_Livret_arbitre_club.pdf' and page between 11 and 40 then 'second' else section end as chapter from ch")
+def chapters(t):
+    """The chapter of a passage: by ranges of pages in one source, else its section."""
+    of = T.by_range(F.when(F.col("source") == "LV01_Livret_arbitre_club.pdf", F.col("page")), [(1, 10, "first"), (11, 40, "second")], F.col("section"))
+    return children(t).select("id", of.alias("chapter"))
+
+
+@query(f"with {PARENTS} select id, trim(case when strpos(text, chr(10) || chr(10)) > 0 then substr(text, 1, strpos(text, chr(10) || chr(10)) - 1) else text end) as task, trim(case when strpos(text, chr(10) || chr(10)) > 0 then substr(text, strpos(text, chr(10) || chr(10)) + 2) end) as rest from pa where text is not null")
+def task_parts(t):
+    """Texts up to their first blank line, and what follows."""
+    return parents(t).where("text is not null").select("id", T.task_parts(F.col("text")).alias("p")).select("id", "p.task", "p.rest")
+
+
+@query(f"with {CHILDREN} select id as doc_id, trim(text) as query, trim(text) as passage from ch where length(trim(text)) >= 20")
+def identical_pairs(t):
+    c = children(t).select(F.col("id").alias("doc_id"), "text")
+    return curate.require_share(curate.identical_pairs(c), c)
+
+
+@query(f"with {UVO} select id, ans from uv where regexp_matches(upper(trim(ans)), '^[A-F]$') and not contains(lower(coalesce(explanation, '')), 'annul')")
+def testable_questions(t):
+    """Exam items with one letter whose explanation doesn't say that they were annulled."""
+    return curate.testable(uvo(t), "ans", "explanation", "annul").select("id", "ans")
+
+
+@query(f"with {UVO} select id, source, case source when 'pdf-text' then 'high' when 'ocr-scan' then 'medium' else 'low' end as priority from uv where source is not null or starts_with(id, 'Q1')")
+def known_origins(t):
+    """Questions of a known source or an id of one kind, with a priority by source."""
+    return curate.by_origin(uvo(t), ["Q1"], "source").select("id", "source", T.priority(F.col("source"), {"pdf-text": "high", "ocr-scan": "medium"}).alias("priority"))

@@ -29,6 +29,10 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+#: The tables that queries may name; any other name is refused before a path is made of it.
+TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings children parents table_summaries jun2023_uvo human_eval_34q audit_sample_review".split())
+
+
 class Tables:
     """The tables of a folder, each read when it is asked for."""
 
@@ -36,4 +40,6 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(f"no table {name}")
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
