@@ -23,6 +23,14 @@ DRAW = "('0x' || substr(md5('42|' || {}), 1, 15))::bigint"
 TITLE = "case when coalesce(summary_text, '') = '' then 'Tableau' when strpos(summary_text, ':') between 2 and 81 then trim(substr(summary_text, 1, strpos(summary_text, ':') - 1)) when length(summary_text) <= 80 then trim(summary_text) else trim(case when regexp_extract(substr(summary_text, 1, 80), '^(.*)\\s', 1) = '' then substr(summary_text, 1, 80) else regexp_extract(substr(summary_text, 1, 80), '^(.*)\\s', 1) end) end"
 
 
+#: White space as built-in patterns see it, in SQL; and a text without it at both ends.
+WS = "[ \\t\\n\\x0b\\f\\r]"
+
+
+def stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
 def _repaired_sql(c: str) -> str:
     for bad, good in stem.MOJIBAKE.items():
         c = f"replace({c}, '{bad}', '{good}')"
@@ -154,7 +162,7 @@ def pair_similarity_max(t):
     return pairs.agg(F.round(F.max("cosine"), 6).alias("most"), F.count_if(F.col("cosine") >= 0.95).alias("close"))
 
 
-@query()
+@query("with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where len(embedding) > 0), n as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v), p as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.5), f as (select b, list(a) as earlier from p group by b), o as (select vec_id, coalesce(earlier, []) as earlier, row_number() over (order by vec_id) as k from embeddings left join f on f.b = vec_id), g as (select 0::bigint as k, []::bigint[] as kept union all select o.k, case when list_has_any(g.kept, o.earlier) then g.kept else list_append(g.kept, o.vec_id) end from g join o on o.k = g.k + 1), l as (select unnest(kept) as vec_id from g where k = (select max(k) from g)) select vec_id, label from l join embeddings using (vec_id)")
 def semantic_dedup(t):
     """Greedy, in the order of the ids: a removed vector removes none."""
     e = t.embeddings.select("vec_id", "embedding", "label")
@@ -270,7 +278,7 @@ def random_negatives(t):
     return curate.negatives(q, c, 2, page_gap=2, checkpoint=checkpoint)
 
 
-@query()
+@query(f"with {CHILDREN}, s as (select id as doc_id, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {stripped('x')}), lambda x: length(x) > 20) as s from ch where text is not null), q as (select doc_id, text, s[({DRAW.format('doc_id')} % len(s) + 1)::int] as query, {DRAW.format("doc_id || '|mask'")} / 1152921504606846976.0 as x from s where len(s) >= 2) select doc_id, query, case when x < 0.9 then trim(regexp_replace(replace(text, query, ''), '[ \\t\\x0b\\f\\r]{{2,}}', ' ', 'g')) else text end as passage from q")
 def cloze_pairs(t):
     return curate.cloze_pairs(children(t).select(F.col("id").alias("doc_id"), "text"))
 
@@ -306,14 +314,6 @@ def keyword_overlap(t):
     return links.by_words(q, children(t).select(F.col("id").alias("doc_id"), "text"))
 
 
-#: White space as built-in patterns see it, in SQL; and a text without it at both ends.
-WS = "[ \\t\\n\\x0b\\f\\r]"
-
-
-def stripped(c: str) -> str:
-    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
-
-
 @query(f"with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {stripped('x')}), lambda x: length(x) > 20) as s from documents where text is not null) select doc_id, len(s) as sentences from s")
 def sentence_counts(t):
     return t.documents.where("text is not null").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
@@ -392,7 +392,7 @@ def chunk_documents(t):
     return chunking.chunk_documents(d)
 
 
-@query()
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null), h as (select *, case when regexp_matches(line, '^#{1,6}[ \\t\\n\\x0b\\f\\r]+[^ \\t\\n\\x0b\\f\\r]') then trim(regexp_replace(line, '^#+[ \\t\\n\\x0b\\f\\r]*', '')) end as h from l), k as (select *, count(*) over (partition by doc_id, h) as n, row_number() over (partition by doc_id, h order by pos) as k from h) select doc_id, string_agg(line, chr(10) order by pos) as text from k where h is null or n < 3 or k = 1 group by doc_id")
 def repeated_headings(t):
     return tables.strip_repeated_headings(t.documents.where("text is not null"), "doc_id", "text")
 

@@ -317,7 +317,13 @@ def neighbour_pages(t):
     return band.join(summaries(t).select("id", "source", "page"), ["source", "page"]).select("query_id", "id").distinct()
 
 
-@query()
+@query(
+    BM25 + COSINE + FUSED + ADAPTIVE + CONTEXTS + f", {SUMMARIES}, ar as (select distinct query_id, source, unnest(range(greatest(1, page - 1), page + 2)) as page from cx where page is not null), lo as (select query_id, min(score) / 2 as score from cx group by query_id), "
+    "ot as (select source, page, arg_min(id, id) as id, arg_min(raw_table_text, id) as text from ts where page is not null group by source, page), nt as (select query_id, source, page, id, len(regexp_split_to_array(trim(text), '[ \\t\\n\\x0b\\f\\r]+')) as words from ar join ot using (source, page)), "
+    "og as (select query_id, list({'ids': [id], 'used': words::bigint} order by source, page, id) as found from nt group by query_id), "
+    "tk as (select query_id, list_reduce(found, lambda a, x: case when a.used + x.used <= 500 then {'ids': list_concat(a.ids, x.ids), 'used': a.used + x.used} else a end, {'ids': []::varchar[], 'used': 0::bigint}).ids as ids from og) "
+    "select query_id, unnest(range(len(ids)))::int as position, unnest(ids) as id, score from tk join lo using (query_id)"
+)
 def neighbour_tables(t):
     """The same under a budget of words for each question."""
     beside = summaries(t).select("id", F.col("raw_table_text").alias("text"), "source", "page").where("page is not null")
