@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,10 +241,11 @@ def _read(kinds: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            # several batches at a time, so that more is added up here
-            for at in range(0, batch.num_rows, 1000):
-                held.append(batch.slice(at, 1000))
-                size += held[-1].column("text").nbytes
+            # several batches at a time, so that more is added up here, and few rows of long texts
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 64):
+                held.append(batch.slice(at, 64))
+                size += int(lengths[at : at + 64].sum())
                 if size >= CHUNK:
                     yield from process(pa.concat_batches(held))
                     held, size = [], 0
