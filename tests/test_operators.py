@@ -218,6 +218,41 @@ def test_chunking_sections_tables_and_small_neighbours(spark):
     assert {r.source for r in chunking.chunk_documents(docs).collect()} == {None}
 
 
+def test_negatives_find_as_many_as_qualify(spark):
+    # a page holds nearly all passages: questions on it look on until they have theirs, or there are no more
+    p = spark.createDataFrame([(f"d{n:03d}", "s", 1) for n in range(200)] + [("x", "s", 9), ("y", None, None), ("z", "t", None)], "doc_id string, source string, page int")
+    q = spark.createDataFrame([("a", "s", 1), ("b", "t", 5), ("c", None, None)], "query_id string, source string, page int")
+    got = {}
+    for r in curate.negatives(q, p, 5, checkpoint=checkpoint).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    # an unknown page of the same source may be another one
+    assert got["a"] == {"x", "y", "z"} and len(got["b"]) == 5 and len(got["c"]) == 5
+    assert sorted(map(tuple, curate.negatives(q, p, 2).collect())) == sorted(map(tuple, curate.negatives(q, p.repartition(7), 2).collect()))
+    assert curate.negatives(q, p.limit(0), 2).count() == 0 and curate.negatives(q.limit(0), p, 2).count() == 0
+
+
+def test_pages_and_sequences_over_chunks_of_one_group(spark):
+    rows = [("s" if n % 3 else None, n, n // 10 if n % 10 == 0 else None, 1 if n % 7 == 0 else n % 7 + 1) for n in range(900)]
+    df = spark.createDataFrame(rows, "source string, pos int, page int, number int").repartition(6)
+    got = {(r.source, r.pos): r.carried for r in tables.carry_pages(df, "source", "pos", "page", checkpoint).collect()}
+    for source in ("s", None):
+        own = [r for r in rows if r[0] == source]
+        least, at = min(r[2] for r in own if r[2] is not None), None
+        for r in own:
+            at = at if r[2] is None else r[2]
+            assert got[source, r[1]] == (least if at is None else at)
+    got = {r.pos: r.sequence for r in tables.sequences(df, "pos", "number", checkpoint=checkpoint).collect()}
+    assert [got[n] for n in range(900)] == [n // 7 for n in range(900)]
+    assert tables.sequences(df.limit(0), "pos", "number", checkpoint=checkpoint).count() == 0
+
+
+def test_only_known_tables_are_read(spark):
+    from quern.plans.registry import Tables
+
+    with pytest.raises(AttributeError):
+        Tables(spark, "/nowhere").secrets
+
+
 def test_spans_of_small_neighbours():
     sizes = {"a": 100, "b": 99, "c": 10, "d": 300, "e": 150, "f": 60}
     count = lambda text: sum(sizes[x] for x in text.split("\n\n"))
