@@ -439,3 +439,27 @@ def search_channels(t):
     queries = asked(t).join(vector, "chunk_id", "left").select("query_id", "text", "embedding")
     fixed = F.when(F.col("channel") == "rows", 0.5).otherwise(1.0)
     return search.channels(queries, c, search.table_weights(queries, INTENT)).withColumn("weight", F.coalesce("weight", fixed))
+
+
+def _items(t: Tables) -> DataFrame:
+    """Whatever a search may find, as passages; tables and their rows have no parent."""
+    c, s = children(t).select("id", "parent_id", "text", "source", "section", "page"), summaries(t)
+    none = F.lit(None).cast("string")
+    of_table = s.select("id", none.alias("parent_id"), F.col("summary_text").alias("text"), "source", none.alias("section"), "page")
+    rows = cells_of(t).select("id", "row_idx").distinct().join(s.select("id", "summary_text", "source", "page"), "id")
+    mark = F.explode(F.array(F.lit("-r"), F.lit("-tr")))
+    of_row = rows.select("*", mark.alias("mark")).select(F.concat("id", "mark", F.lpad(F.col("row_idx").cast("string"), 3, "0")).alias("id"), none.alias("parent_id"), F.col("summary_text").alias("text"), "source", none.alias("section"), "page")
+    return c.unionByName(of_table).unionByName(of_row)
+
+
+@query(
+    FULL
+    + ADAPTIVE
+    + ", it as (select id, parent_id, text, source, page from ch union all select id, null, summary_text, source, page from ts union all select distinct ce.id || m || lpad(row_idx::varchar, 3, '0'), null, summary_text, source, page from ce join ts using (id), (select unnest(['-r', '-tr']) as m))"
+    + CONTEXTS.replace("ch.", "it.").replace("join ch on", "join it on")
+    + " select query_id, kind, context_id, score, first_rank, matched, page, source, context_rank from cx"
+)
+def full_search_contexts(t):
+    """From questions through all channels to contexts: parents, and tables and rows as they are."""
+    found = context.parent_contexts(_searched(t, INTENT), _items(t), parents(t))
+    return found.select("query_id", "kind", "context_id", "score", "first_rank", "matched", "page", "source", "context_rank")
