@@ -116,7 +116,7 @@ def stratified(df: DataFrame, by: str, key: str, total: int, seed: int = 42) ->
     everything = sizes.agg(F.sum("_c").alias("_t"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("_c") / F.col("_t")))
     order = Window.partitionBy(by).orderBy(lot(F.col(key), seed=seed), key)
-    picked = df.withColumn("_n", F.row_number().over(order)).join(F.broadcast(sizes.join(F.broadcast(everything)).select(F.col(by).alias("_s"), quota.alias("_q"))), F.col(by).eqNullSafe(F.col("_s"))).where("_n <= _q")
+    picked = df.withColumn("_n", F.row_number().over(order)).join(sizes.join(F.broadcast(everything)).select(F.col(by).alias("_s"), quota.alias("_q")), F.col(by).eqNullSafe(F.col("_s"))).where("_n <= _q")
     return picked.orderBy("_n", lot(F.col(key), seed=seed), key).limit(total).select(*df.columns)
 
 

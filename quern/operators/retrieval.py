@@ -286,7 +286,7 @@ def ranked_again(hits: DataFrame) -> DataFrame:
 def drop_pages(hits: DataFrame, where: DataFrame, pages: DataFrame) -> DataFrame:
     """Hits without those on unwanted pages.  ``where``: doc_id, source, page, one row for each id; ``pages``: source,
     page.  Ids that are nowhere, and null pages, stay."""
-    bad = where.join(F.broadcast(pages), ["source", "page"], "left_semi").select("doc_id").distinct()
+    bad = where.join(pages, ["source", "page"], "left_semi").select("doc_id").distinct()
     return hits.join(bad, "doc_id", "left_anti")
 
 
