@@ -51,27 +51,70 @@ def language(ws: list[str], least: int = 2, ties: bool = False) -> str | None:
     return top[0] if best >= least and (ties or len(top) == 1) else None
 
 
-#: Words of the learned dictionaries, for each language at most.
-LEARNED_WORDS = 20_000
+def sure(ws: list[str]) -> tuple[str | None, float]:
+    """The language of words whose function words leave no doubt (four votes, and half as many again as any other
+    language), and the share of its votes."""
+    got = votes(ws).most_common(2)
+    if got and got[0][1] >= 4 and (len(got) < 2 or got[0][1] >= 1.5 * got[1][1]):
+        return got[0][0], got[0][1] / len(ws)
+    return None, 0.0
+
+
+def trigrams(w: str) -> list[str]:
+    s = f" {w} "
+    return [s[k : k + 3] for k in range(len(s) - 2)]
+
+
+#: Share of a text's words that vote for its language, from which trigrams are learned of it.
+DENSE = 0.2
+
+
+class Tally:
+    """Counts of words by language, of texts whose language is sure."""
+
+    def __init__(self):
+        self._held: dict[tuple[str, bool], Counter] = {}
+
+    def add(self, ws: list[str]) -> None:
+        lang, share = sure(ws)
+        if lang:
+            self._held.setdefault((lang, share >= DENSE), Counter()).update(ws)
+
+    def __len__(self) -> int:
+        return sum(map(len, self._held.values()))
+
+    def words(self) -> dict[str, Counter]:
+        """Words without those that are digits only, by language."""
+        out: dict[str, Counter] = {}
+        for (lang, _), held in self._held.items():
+            out.setdefault(lang, Counter()).update({w: n for w, n in held.items() if not w.isdecimal()})
+        return out
+
+    def trigrams(self) -> dict[str, Counter]:
+        """Three letters in a row, by language, of texts of which one word in five votes."""
+        out: dict[str, Counter] = {}
+        for (lang, dense), held in self._held.items():
+            if dense:
+                seen = out.setdefault(lang, Counter())
+                for w, n in held.items():
+                    if w.isalpha():
+                        for x in trigrams(w):
+                            seen[x] += n
+        return out
 
 
 class Dictionaries:
-    """Words by language, learned from texts whose function words leave no doubt (four votes, and three times as many as
-    any other language).  A naive Bayes model over words without digits."""
-
-    def __init__(self, texts: list[list[str]]):
-        counts: dict[str, Counter] = {}
-        for ws in texts:
-            got = votes(ws).most_common(2)
-            if got and got[0][1] >= 4 and (len(got) < 2 or got[0][1] >= 1.5 * got[1][1]):
-                counts.setdefault(got[0][0], Counter()).update(w for w in ws if not w.isdecimal())
+    """A naive Bayes model over the words of each language, learned from their counts."""
+
+    def __init__(self, counts: dict[str, Counter]):
         # a language of a handful of texts is noise
         self.languages = [x for x in _LANGUAGES if x in counts and counts[x].total() >= 50]
-        kept = {x: Counter(dict(counts[x].most_common(LEARNED_WORDS))) for x in self.languages}
-        size = len(set().union(*kept.values())) if kept else 0
-        self.weights: dict[str, tuple[float, ...]] = {}
-        for w in set().union(*kept.values()) if kept else ():
-            self.weights[w] = tuple(math.log((kept[x][w] + 0.1) / (kept[x].total() + 0.1 * size)) for x in self.languages)
+        kept = [counts[x] for x in self.languages]
+        every = set().union(*kept)
+        totals = [c.total() + 0.1 * len(every) for c in kept]
+        # words that are as frequent share their weights
+        weights = lru_cache(maxsize=None)(lambda *ns: tuple(math.log((n + 0.1) / total) for n, total in zip(ns, totals)))
+        self.weights: dict[str, tuple[float, ...]] = {w: weights(*(c[w] for c in kept)) for w in every}
 
     def scores(self, ws: list[str]) -> tuple[dict[str, float], int]:
         """Log likelihood of the known words by language, and how many are known."""
@@ -79,35 +122,21 @@ class Dictionaries:
         return dict(zip(self.languages, map(sum, zip(*known)))) if known else {}, len(known)
 
 
-#: Trigrams of a language must be seen so often, and so many of them learned, for the model to judge.
-TRIGRAM_SEEN, TRIGRAMS_LEARNED = 2, 20_000
-#: Texts of which trigrams are learned, at most.
-LETTER_SAMPLE = 4_000
+#: Trigrams of a language must be seen so often, and be so large a share of its trigrams, and so many must be counted, for
+#: the model to judge.  The share keeps what is known of a language the same however many texts there are: slips and
+#: quoted words come again in a larger corpus.
+TRIGRAM_SEEN, TRIGRAM_SHARE, TRIGRAMS_LEARNED = 2, 1e-6, 20_000
 #: Share of a text's trigrams that a language doesn't have, from which the text isn't in it.  Texts in a language that was
 #: learned stay under 0.07, those in its relatives reach 0.16.
 UNSEEN = 0.12
 
 
-def trigrams(w: str) -> list[str]:
-    s = f" {w} "
-    return [s[k : k + 3] for k in range(len(s) - 2)]
-
-
 class Letters:
-    """Which three letters in a row a language has, learned from texts whose function words leave no doubt (four votes, one
-    word in five, half as many again as any other language)."""
-
-    def __init__(self, texts: list[list[str]]):
-        counts: dict[str, Counter] = {}
-        for ws in texts:
-            got = votes(ws).most_common(2)
-            if got and got[0][1] >= max(4, 0.2 * len(ws)) and (len(got) < 2 or got[0][1] >= 1.5 * got[1][1]):
-                seen = counts.setdefault(got[0][0], Counter())
-                for w, n in Counter(ws).items():
-                    if w.isalpha():
-                        for x in trigrams(w):
-                            seen[x] += n
-        self.known = {lang: frozenset(x for x, n in c.items() if n >= TRIGRAM_SEEN) for lang, c in counts.items() if c.total() >= TRIGRAMS_LEARNED}
+    """Which three letters in a row a language has, learned from their counts."""
+
+    def __init__(self, counts: dict[str, Counter]):
+        totals = {lang: c.total() for lang, c in counts.items()}
+        self.known = {lang: frozenset(x for x, n in c.items() if n >= max(TRIGRAM_SEEN, TRIGRAM_SHARE * totals[lang])) for lang, c in counts.items() if totals[lang] >= TRIGRAMS_LEARNED}
         self.all = frozenset().union(*self.known.values())
 
     def unseen(self, ws: list[str], lang: str | None = None) -> float | None:

@@ -3,7 +3,7 @@
 Every pair gets at most one of ``empty``, ``refusal``, ``copied_question``, ``other_language`` and ``truncated``, tried in
 this order.  Null, empty and blank responses are ``empty``; pairs with a null prompt can only be empty, a refusal or
 truncated.  Languages are told by script, by function words, and by dictionaries and trigrams of letters that are learned
-from a bounded sample of the pairs; an answer in a language that nothing is known of is told by not being the question's.
+from all pairs; an answer in a language that nothing is known of is told by not being the question's.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import truncation
 from .languages import SPELLED, UNSEEN, Dictionaries, Letters, against, foreign_letters, language, main_script
+from .learned import TRIGRAM, WORD, learn
 from .words import fold, words
 
 _MARKUP = regex.compile(r"<[^<>]*>|&\w+;|&#\d+;|[\p{P}\p{S}\p{Z}\p{C}\s]+")
@@ -147,10 +148,6 @@ def is_copy(q: list[str], r: list[str]) -> bool:
 #: By how much (in natural logarithms) another language must be likelier for a whole response, and its own for one of
 #: its sentences to be in the question's.
 MARGIN, OWN_MARGIN = 4.0, 2.0
-#: Responses and questions of which dictionaries are learned, at most.
-LANGUAGE_SAMPLE = 20_000
-
-
 #: Letters of a response that tell its script, and the share of them that one script must have; words that tell a
 #: language by its letters, and the share of them that must hold one that the question's language doesn't write.
 SCRIPT_LETTERS, SCRIPT_SHARE, LETTER_WORDS, LETTER_SHARE = 4, 0.8, 5, 0.15
@@ -208,10 +205,8 @@ def defects(pairs: DataFrame, values: DataFrame, corpus: DataFrame | None = None
     """``id`` and ``defect`` of the defective rows of ``pairs`` (id, question, response, with distinct ids).
 
     ``values``, ``corpus``, ``checkpoint`` and ``kinds`` are those of ``truncation.cut_values``, with the same ids as keys."""
-    total = pairs.count()
-    drawn = pairs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * total // LANGUAGE_SAMPLE))) == 0).select("question", "response").limit(LANGUAGE_SAMPLE // 2).collect()
-    sample = [words(t) for r in drawn for t in r if t]
-    learned = pairs.sparkSession.sparkContext.broadcast((Dictionaries(sample), Letters(sample)))
+    found, letters = learn(pairs.select("question", "response"), WORD, TRIGRAM)
+    learned = pairs.sparkSession.sparkContext.broadcast((Dictionaries(found), Letters(letters)))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

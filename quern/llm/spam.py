@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .languages import LETTER_SAMPLE, SPELLED, UNSEEN, Letters, foreign_letters, main_script, votes
+from .languages import SPELLED, UNSEEN, Letters, Tally, foreign_letters, main_script, votes
 from .words import fold, words
 
 #: A sentence is keywords when its share of function words is under this part of its language's mean:
@@ -33,6 +33,8 @@ DEFAULT_MEAN, ENOUGH = 0.38, 200
 DISTINCT, TOP_FIVE, TOP_PAIRS, DOUBLED = 0.45, 0.45, 0.35, 0.4
 LEAST_WORDS = 20
 SPAM = 0.5
+#: Texts of which trigrams are learned, at most.
+LETTER_SAMPLE = 4_000
 #: The share of function words is kept in so many steps.
 STEPS = 20
 
@@ -187,7 +189,10 @@ def spam_pages(df: DataFrame, key: str, text: str, checkpoint=lambda x: x) -> Da
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     every = max(1, df.count() // LETTER_SAMPLE)
     drawn = given.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text").where("text is not null").limit(LETTER_SAMPLE)
-    letters = df.sparkSession.sparkContext.broadcast(Letters([words(r.text) for r in drawn.toLocalIterator()]))
+    tally = Tally()
+    for r in drawn.toLocalIterator():
+        tally.add(words(r.text))
+    letters = df.sparkSession.sparkContext.broadcast(Letters(tally.trigrams()))
     measured = given.mapInArrow(_measure(letters), f"key {kind}, lang string, repeated double, kind array<int>, chars array<int>, words array<int>, step array<int>")
     measured = checkpoint(measured)
     # the mean share of function words over what reads like sentences, by language: one row for each, so a broadcast

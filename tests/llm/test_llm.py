@@ -3,6 +3,7 @@
 import os
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import languages, leaks, packing, pairs, pieces, queries, spam, tokens, truncation, vectors, words
+from quern.llm import languages, leaks, learned, packing, pairs, pieces, queries, spam, tokens, truncation, vectors, words
 from quern.session import checkpoint
 
 FOLDER = "/root/testdata/sf0.001"
@@ -168,6 +169,38 @@ def test_defects_join_with_truncated_responses(spark):
     assert got == {"k0": "empty", "x0": "truncated"}
 
 
+def test_languages_of_pairs_are_learned_from_all_of_them(spark):
+    # answers without function words, each told by the words of one other pair
+    pairs_of = lambda n: (f"What is the use of {n}?", f"The player may not use {n} and has to wait for it.")
+    made = lambda n: [f"{x}{chr(97 + n // 26)}{chr(97 + n % 26)}" for x in ("castle", "pawn", "bishop")]
+    rows = [(f"known{n}", *pairs_of(" ".join(made(n)))) for n in range(40)]
+    rows += [(f"asked{n}", "Qui peut signer la feuille de match ?", " ".join(made(n)).capitalize() + ".") for n in range(40)]
+    rows += [(f"fr{n}", "Qui peut signer la feuille de match ?", "Le capitaine de chaque équipe signe la feuille avant la fin de la ronde.") for n in range(20)]
+    rows += [(f"more{n}", None, "Oui.") for n in range(20_000)]
+    df = spark.createDataFrame(rows, "id string, question string, response string")
+    values = df.limit(0).select(F.col("id").alias("key"), F.lit("text").alias("kind"), F.lit("a").alias("source"), F.lit("").alias("text"))
+    got = {r.id: r.defect for r in pairs.defects(df, values).collect()}
+    assert got == {f"asked{n}": "other_language" for n in range(40)}
+
+
+def test_what_is_known_of_a_language_is_no_matter_of_size():
+    french = {x: 10**6 for x in map("".join, zip("abcdefgh" * 4, "bcdefgha" * 4, "cdefghab" * 4))}
+    assert "zzz" in languages.Letters({"fr": Counter({**dict.fromkeys(french, 10**4), "zzz": 2})}).all
+    assert "zzz" not in languages.Letters({"fr": Counter({**french, "zzz": 2})}).all
+
+
+def test_counts_of_words_are_those_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(learned, "HELD", 10)
+    texts = [f"Le joueur et la pendule du club n{chr(97 + n % 26)} de la ville {n}" for n in range(300)] + [None, "", "Roque", "the a an of to in le la les du"]
+    found, letters = learned.learn(spark.createDataFrame([(t, t) for t in texts], "a string, b string"), learned.WORD, learned.TRIGRAM)
+    tally = languages.Tally()
+    for t in texts * 2:
+        tally.add(words.words(t))
+    assert found == tally.words() and letters == tally.trigrams()
+    assert found["fr"]["joueur"] == 600 and letters["fr"][" jo"] == 600 and "12" not in found["fr"]
+    assert learned.learn(spark.createDataFrame([], "a string"), learned.WORD) == [{}]
+
+
 def test_languages():
     assert languages.language("le joueur doit signer la feuille".split()) == "fr"
     assert languages.language("the arbiter must sign the sheet".split()) == "en"
