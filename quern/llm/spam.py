@@ -4,8 +4,8 @@ A text is cut into sentences and lines.  Each gets a kind from its separators, l
 function words; the threshold of that share is calibrated for each language over the whole corpus.  Lines without
 function words count as keywords only if the words they hold together are repeated within the text (share of the most
 frequent words and word pairs, duplicate lines).  A language without a word list is told by its
-letters: too many of a text's trigrams are in none of the listed languages, whose trigrams are learned from a bounded
-sample.  There a sentence is what ends like one and isn't a list, and only the rest can be keywords; where a script has
+letters: too many of a text's trigrams are in none of the listed languages, whose trigrams are learned from all
+texts.  There a sentence is what ends like one and isn't a list, and only the rest can be keywords; where a script has
 no spaces between words, only duplicate lines count as repetition.  A text is spam if more than half of its characters stand in links,
 tags, product lines and repeated keywords.  Null, empty and blank texts are none.
 """
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .languages import SPELLED, UNSEEN, Letters, Tally, foreign_letters, main_script, votes
-from .words import fold, words
+from .languages import SPELLED, UNSEEN, Letters, foreign_letters, main_script, votes
+from .learned import TRIGRAM, learn
+from .words import fold
 
 #: A sentence is keywords when its share of function words is under this part of its language's mean:
 #: for lists with separators, and in texts whose keywords are repeated: just enough, and through and through.
@@ -33,8 +34,6 @@ DEFAULT_MEAN, ENOUGH = 0.38, 200
 DISTINCT, TOP_FIVE, TOP_PAIRS, DOUBLED = 0.45, 0.45, 0.35, 0.4
 LEAST_WORDS = 20
 SPAM = 0.5
-#: Texts of which trigrams are learned, at most.
-LETTER_SAMPLE = 4_000
 #: The share of function words is kept in so many steps.
 STEPS = 20
 
@@ -187,12 +186,7 @@ def spam_pages(df: DataFrame, key: str, text: str, checkpoint=lambda x: x) -> Da
     ``checkpoint`` cuts the lineage of the measured segments, which are read twice: once for the calibration."""
     kind = df.schema[key].dataType.simpleString()
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    every = max(1, df.count() // LETTER_SAMPLE)
-    drawn = given.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text").where("text is not null").limit(LETTER_SAMPLE)
-    tally = Tally()
-    for r in drawn.toLocalIterator():
-        tally.add(words(r.text))
-    letters = df.sparkSession.sparkContext.broadcast(Letters(tally.trigrams()))
+    letters = df.sparkSession.sparkContext.broadcast(Letters(*learn(given.select("text"), TRIGRAM)))
     measured = given.mapInArrow(_measure(letters), f"key {kind}, lang string, repeated double, kind array<int>, chars array<int>, words array<int>, step array<int>")
     measured = checkpoint(measured)
     # the mean share of function words over what reads like sentences, by language: one row for each, so a broadcast

@@ -458,6 +458,14 @@ def test_prose_of_languages_without_a_list_is_no_spam(spark, lang, learned):
     assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {9}
 
 
+def test_letters_are_learned_from_all_pages(spark):
+    # one page tells what Dutch looks like, and it is one that every second page leaves out
+    dutch = "De speler moet de stelling op het bord zetten en mag niet terug naar de schaakklok voor het einde van de partij. " * 250
+    spread = spark.range(9_000, 9_100).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1).first().id
+    rows = [(n, PROSE) for n in range(8_000)] + [(spread, dutch), (9_200, "Stelling schaakklok bord partij einde speler. " * 30)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {9_200}
+
+
 def test_links_need_no_known_host():
     for ending in ("it", "co.uk", "museum", "pl"):
         kinds = {k for k, *_ in spam.segments("\n".join(f"Scacchi club-{n}.{ending}" for n in range(40)))[1]}
