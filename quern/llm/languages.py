@@ -39,7 +39,11 @@ _ONLY = {(a, b): _LANGUAGES[a] - _LANGUAGES[b] for a in _LANGUAGES for b in _LAN
 
 def votes(ws: list[str]) -> Counter:
     """For each language how many of the words, folded or in lower case, are among its function words."""
-    return Counter([lang for w in filter(_OF_WORD.__contains__, ws) for lang in _OF_WORD[w]])
+    got: dict[str, int] = {}
+    for w, n in Counter(filter(_OF_WORD.__contains__, ws)).items():
+        for lang in _OF_WORD[w]:
+            got[lang] = got.get(lang, 0) + n
+    return Counter(got)
 
 
 def language(ws: list[str], least: int = 2, ties: bool = False) -> str | None:

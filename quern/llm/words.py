@@ -23,6 +23,8 @@ def _ranges(cps: list[int]) -> str:
 
 _MARKS = regex.compile(r"\p{M}+")
 _WORD = re.compile(r"[^\W_]+")  # letters and numbers of all kinds
+#: By byte: what ASCII words are made of, and a space for all else.
+_SPACED = bytes(c if c < 0x80 and chr(c).isalnum() else 0x20 for c in range(256))
 _HYPHEN = regex.compile(r"(?<=[\p{L}\p{N}\p{M}])[-\u2010\u00ad][^\S\r\n\u2028]*(?:\r\n|[\n\r\u2028])[^\S\r\n\u2028]*(?=[\p{L}\p{N}])")
 
 OTHER, WORD, SPACE, MARK = 0, 1, 2, 3
@@ -40,7 +42,8 @@ def fold(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """The words of a text; none for null."""
-    return _WORD.findall(fold(join_hyphens(text))) if text else []
+    folded = fold(join_hyphens(text)) if text else ""
+    return folded.encode().translate(_SPACED).decode().split() if folded.isascii() else _WORD.findall(folded)
 
 
 @lru_cache(maxsize=1)
